@@ -60,19 +60,31 @@ def spread(name: str = "doc_id", seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def training_sample(df: DataFrame, stratum: str, rows: int, megabytes: int, text: bool = True, seed: int = 17) -> DataFrame:
-    """A bounded, reproducible sample of labelled rows for a fit on the driver.
-
-    Each value of ``stratum`` gets a rate so that about ``rows`` rows and ``megabytes`` of text are
-    expected from it at most; a row is taken if the hash of its id is below that rate.  The label
-    values are few, so their rates travel as one literal map.
-    """
-    size = F.sum(F.octet_length(F.col("text"))) if text else F.lit(0)
-    found = df.groupBy(stratum).agg(F.count("*").alias("n"), size.alias("b")).collect()
-    if not found:
-        return df.limit(0)
+def _thinned(df: DataFrame, stratum: str, share, seed: int) -> DataFrame:
+    """Rows whose id's hash is below their stratum's share; strata are the few values of a label."""
     rate = F.lit(0.0)
-    for r in found:
-        share = min(1.0, rows / r["n"], megabytes * 1e6 / max(1, r["b"] or 0))
-        rate = F.when(F.col(stratum) == F.lit(r[stratum]), F.lit(share)).otherwise(rate)
+    for value, part in share.items():
+        rate = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, float(part)))).otherwise(rate)
     return df.where(spread("doc_id", seed) < rate)
+
+
+def training_sample(labelled: DataFrame, stratum: str, rows: int, seed: int = 17) -> DataFrame:
+    """A reproducible sample of labelled rows: about ``rows`` are expected of each value of ``stratum`` at most."""
+    found = labelled.groupBy(stratum).agg(F.count("*").alias("n")).collect()
+    return _thinned(labelled, stratum, {r[stratum]: rows / r["n"] for r in found if r[stratum] is not None}, seed)
+
+
+def with_texts(docs: DataFrame, labelled: DataFrame, stratum: str, rows: int, megabytes: int) -> DataFrame:
+    """doc_id, text and label of a bounded sample; its size in rows is bounded before it is broadcast.
+
+    ``megabytes`` bounds the text of each label value: the rows found are thinned once more by it.
+    """
+    few = training_sample(labelled, stratum, rows)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    return in_bytes(found, stratum, megabytes)
+
+
+def in_bytes(found: DataFrame, stratum: str, megabytes: int, seed: int = 29) -> DataFrame:
+    found = materialise(found)
+    sizes = found.groupBy(stratum).agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    return _thinned(found, stratum, {r[stratum]: megabytes * 1e6 / max(1, r["b"]) for r in sizes}, seed)

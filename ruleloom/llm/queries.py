@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import exact_dedup, packing, quality_rules, sharding
+from ruleloom.llm import exact_dedup, langid, packing, quality_model, quality_rules, sharding, toxicity
 from ruleloom.llm.common import documents, labels
 
 
@@ -14,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -30,5 +38,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_packing, op8_sharding, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_packing, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
