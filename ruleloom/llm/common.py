@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the word rules: a space and the characters from tab to carriage return.
@@ -88,3 +88,17 @@ def in_bytes(found: DataFrame, stratum: str, megabytes: int, seed: int = 29) ->
     found = materialise(found)
     sizes = found.groupBy(stratum).agg(F.sum(F.octet_length("text")).alias("b")).collect()
     return _thinned(found, stratum, {r[stratum]: megabytes * 1e6 / max(1, r["b"]) for r in sizes}, seed)
+
+
+def row_digest() -> Column:
+    """Tells rows with one id apart by their text."""
+    return F.xxhash64(text_of())
+
+
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` named by ``kept`` (doc_id, digest from row_digest), once each; all columns stay."""
+    named = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_named")).distinct()
+    found = docs.withColumn("_digest", row_digest())
+    found = found.join(named, found.doc_id.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_named")))
+    place = F.row_number().over(Window.partitionBy("_id", "_named").orderBy(F.lit(1)))
+    return found.withColumn("_place", place).where("_place = 1").select(*docs.columns)

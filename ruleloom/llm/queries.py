@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import exact_dedup, langid, packing, quality_model, quality_rules, sharding, toxicity
+from ruleloom.llm import exact_dedup, langid, near_dedup, packing, quality_model, quality_rules, sharding, toxicity
 from ruleloom.llm.common import documents, labels
 
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_packing, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
