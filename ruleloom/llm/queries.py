@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import exact_dedup, langid, near_dedup, packing, quality_model, quality_rules, sharding, toxicity
+from ruleloom.llm import exact_dedup, langid, near_dedup, packing, quality_model, quality_rules, sharding, substring, toxicity
 from ruleloom.llm.common import documents, labels
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -27,7 +27,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +50,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op5_substring_dedup, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
