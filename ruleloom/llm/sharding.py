@@ -56,6 +56,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 7, slice_rows:
     totals = rows.groupBy("stratum").agg(F.count("*").alias("rows"))
     unit = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / 2.0**32
     rows = rows.join(totals, "stratum").withColumn("slice", F.floor(unit * F.ceil(F.col("rows") / slice_rows)))
+    # else the window below would take over the join's partitions, one for each source
+    rows = rows.repartition("stratum", "slice")
     offsets = _offsets(rows.groupBy("stratum", "slice").agg(F.count("*").alias("n")), ["stratum"], "slice")
     order = ["digest", "doc_id", "text_crc32", "size"]
     here = F.row_number().over(Window.partitionBy("stratum", "slice").orderBy(*order))
