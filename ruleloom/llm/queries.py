@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import exact_dedup, langid, near_dedup, packing, quality_model, quality_rules, sharding, substring, toxicity
+from ruleloom.llm import exact_dedup, langid, near_dedup, packing, pieces, quality_model, quality_rules, sharding, substring, toxicity
 from ruleloom.llm.common import documents, labels
 
 
@@ -38,6 +38,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op5_substring_dedup, op6_language_id, op8_sharding, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op5_substring_dedup, op6_language_id, op7_sentencepiece, op8_sharding, op9_quality_rules, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
