@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Hash functions, and smallest labels that each one takes.
 HASHES, TAKEN = 12, 3
 #: Members of a bucket that one task settles, and leaders that a larger bucket gets in a round.
-SETTLED, LEADERS = 512, 64
+SETTLED, LEADERS = 2000, 64
 TABLE = "rid bigint, doc_id bigint, digest bigint, key binary, buckets array<bigint>, labels binary"
 
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,10 +144,28 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["rid", "leader", "linked"])
 
 
+def shared_labels(labels: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many labels each two documents share, by products of blocks of their 0/1 matrix."""
+    doc = np.repeat(np.arange(len(labels)), [len(x) for x in labels])
+    _, column, count = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[count[column[order]] > 1]
+    found, column, doc = np.zeros((len(labels), len(labels)), np.float32), column[order], doc[order]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        block = np.zeros((len(labels), columns), np.float32)
+        block[doc[a:b], column[a:b] - at] = 1
+        found += block @ block.T
+    return found
+
+
 def _settle(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a small bucket: pairs that earlier links already connect are not compared."""
+    """Links of a bucket: only pairs that share enough labels and that no earlier link connects are aligned."""
     rows = group.sort_values("rid")
     rid, labels = rows.rid.tolist(), [np.frombuffer(x, "<u4") for x in rows.labels]
+    size = np.array([len(x) for x in labels], np.float32)
+    need = SIMILARITY / (1 + SIMILARITY) * (size[:, None] + size[None, :])
     top, out = list(range(len(rid))), []
 
     def root(i: int) -> int:
@@ -155,11 +173,10 @@ def _settle(group: pd.DataFrame) -> pd.DataFrame:
             top[i] = i = top[top[i]]
         return i
 
-    for j in range(len(rid)):
-        for i in range(j):
-            if root(i) != root(j) and aligned(labels[i], labels[j]):
-                top[root(j)] = root(i)
-                out.append((rid[i], rid[j]))
+    for i, j in np.argwhere(np.triu(shared_labels(labels) >= need - 1e-3, 1)).tolist():
+        if root(i) != root(j) and aligned(labels[i], labels[j]):
+            top[root(j)] = root(i)
+            out.append((rid[i], rid[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -212,9 +229,9 @@ def classes(docs: DataFrame) -> DataFrame:
     only = table.select("rid", "buckets").join(texts.select("rid"), "rid", "left_semi")
     members = materialise(only.select("rid", F.explode("buckets").alias("bucket")))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialise(members.join(shared, "bucket"))
+    members = materialise(members.join(shared.hint("merge"), "bucket"))
     wanted = members.select("rid").distinct()
-    labels = materialise(table.select("rid", "labels").join(wanted, "rid"))
+    labels = materialise(table.select("rid", "labels").join(wanted.hint("merge"), "rid"))
     label = components(_links(members, labels))
     texts = texts.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("label", "rid"))
     texts = materialise(texts.select("key", "copies", "first", "class"))
