@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of activation, point ranking and the pair tournament."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ruleloom.operators import mining, ranking
+from ruleloom.operators.ranking import grid, midrank
+from ruleloom.plans.q_mining import _RANKED
+from ruleloom.plans.q_scalars import _JOINED, _PAIR_SQL
+from ruleloom.plans.registry import query
+from ruleloom.plans.views import R6, Views, r6
+
+POINTS = _RANKED + """,
+d AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY q DESC, n DESC, premises) AS d FROM q),
+sel AS (SELECT * FROM d ORDER BY CASE WHEN d <= 10 THEN 0 ELSE 1 END, q DESC, size DESC, n DESC, premises LIMIT 30),
+prem AS (SELECT premises, size, strength, confidence, unnest(string_split(premises, ' & ')) AS atom FROM sel),
+act AS (SELECT f.impression, f.article, p.premises, min(p.size) AS size, min(p.strength) AS strength, min(p.confidence) AS confidence
+  FROM facts f JOIN prem p ON p.atom = f.predicate || '=' || f.value GROUP BY 1, 2, 3 HAVING count(*) = min(p.size)),
+pi AS (SELECT ty * 1.0E0 / tn AS pi FROM tot),
+pt AS (SELECT c.impression, c.article, c.y, c.topic, count(a.premises) AS fired,
+  CASE WHEN count(a.premises) = 0 THEN min(pi) ELSE sum(a.size * (pi + a.confidence * (a.strength - pi))) / sum(a.size) END AS score
+  FROM cases c LEFT JOIN act a ON a.impression = c.impression AND a.article = c.article, pi GROUP BY 1, 2, 3, 4)"""
+
+
+@query("jn_rule_activation", f"{POINTS} SELECT impression, article, count(*) AS fired, string_agg(premises, '; ' ORDER BY premises) AS rules FROM act GROUP BY 1, 2")
+def rule_activation(v: Views) -> DataFrame:
+    """Active rules of each case; the SQL divides facts by premises with joins."""
+    rows = ranking.activate(mining.cases(v), ranking.serving_rules(v)).where(F.size("active") > 0)
+    return rows.select("impression", "article", F.size("active").alias("fired"), F.array_join(F.array_sort(F.transform("active", lambda r: r["premises"])), "; ").alias("rules"))
+
+
+@query("jn_rule_population", f"{POINTS} SELECT s.premises, count(a.premises) AS matched, min(t.tn) - count(a.premises) AS unmatched, 0::BIGINT AS inapplicable FROM sel s LEFT JOIN act a USING (premises), tot t GROUP BY 1")
+def rule_population(v: Views) -> DataFrame:
+    """Matched and unmatched cases of each rule; a case that lacks a premise's predicate is inapplicable."""
+    rows = ranking.activate(mining.cases(v), ranking.serving_rules(v))
+    matched = rows.select(F.explode("active.premises").alias("premises")).groupBy("premises").agg(F.count("*").alias("matched"))
+    n = rows.agg(F.count("*").alias("n"))
+    out = ranking.serving_rules(v).select("premises").join(matched, "premises", "left").join(F.broadcast(n)).fillna(0, ["matched"])
+    return out.select("premises", "matched", (F.col("n") - F.col("matched")).alias("unmatched"), F.lit(0).cast("bigint").alias("inapplicable"))
+
+
+@query("rank_point", f"{POINTS} SELECT impression, article, fired, {R6('score')} AS score FROM pt")
+def rank_point(v: Views) -> DataFrame:
+    return ranking.points(v).select("impression", "article", "fired", r6(F.col("score")).alias("score"))
+
+
+@query("prf_point_active", f"{POINTS} SELECT count(*) AS cases, count(*) FILTER (fired = 0) AS without_proof, sum(fired)::BIGINT AS proofs FROM pt")
+def point_active(v: Views) -> DataFrame:
+    return ranking.points(v).agg(F.count("*").alias("cases"), F.count_if(F.col("fired") == 0).alias("without_proof"), F.sum("fired").alias("proofs"))
+
+
+@query("prf_parity", f"{POINTS} SELECT count(*) AS cases, {R6('avg(score)')} AS mean_score FROM pt")
+def parity(v: Views) -> DataFrame:
+    return ranking.points(v).agg(F.count("*").alias("cases"), r6(F.avg("score")).alias("mean_score"))
+
+
+@query("prf_case_identity", f"{POINTS}, k AS (SELECT impression, article, string_agg(premises, '; ' ORDER BY premises) AS rules FROM act GROUP BY 1, 2) SELECT sha256(rules) AS identity, count(*) AS cases FROM k GROUP BY 1")
+def case_identity(v: Views) -> DataFrame:
+    """Cases with one set of active rules share a proof; the identity is the set's digest."""
+    return rule_activation(v).groupBy(F.sha2("rules", 256).alias("identity")).agg(F.count("*").alias("cases"))
+
+
+_PRIORS = ", pr AS (SELECT topic, (sum(y) + 1.0E0) / (count(*) + 10) AS prior FROM cases GROUP BY 1)"
+_POINT_ORDER = "ORDER BY floor(score * 1e6 + 0.5) DESC, floor(prior * 1e6 + 0.5) DESC, article"
+
+
+@query("rank_tiebreak", f"{POINTS}{_PRIORS} SELECT impression, article, row_number() OVER (PARTITION BY impression {_POINT_ORDER}) AS place FROM pt JOIN pr USING (topic)")
+def tiebreak(v: Views) -> DataFrame:
+    p = ranking.points(v)
+    prior = p.groupBy("topic").agg(((F.sum("y") + 1.0) / (F.count("*") + 10)).alias("prior"))
+    place = F.row_number().over(Window.partitionBy("impression").orderBy(grid(F.col("score")).desc(), grid(F.col("prior")).desc(), "article"))
+    return p.join(prior, "topic").select("impression", "article", place.alias("place"))
+
+
+_SKIPS = """WITH s AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'click'),
+m AS (SELECT user_id, max(CASE WHEN r <= 20 AND event_type = 'error' THEN 1 ELSE 0 END) AS exact, max(CASE WHEN r <= 5 AND event_type = 'view' THEN 1 ELSE 0 END) AS sub, max(CASE WHEN r <= 5 AND event_type = 'signup' THEN 1 ELSE 0 END) AS topic FROM s GROUP BY 1)"""
+_LEVEL = "CASE WHEN exact = 1 THEN 'exact' WHEN sub = 1 THEN 'subcategory' WHEN topic = 1 THEN 'topic' ELSE 'none' END"
+_NEG = "CASE WHEN exact = 1 THEN 0.95 WHEN sub = 1 THEN 0.80 WHEN topic = 1 THEN 0.65 ELSE 0.0 END"
+
+
+def _skips(v: Views) -> DataFrame:
+    """Matches of a user's latest 20 skips (exact) and latest 5 (broader): the event type stands for the skipped item."""
+    s = v.table("events").where("event_type <> 'click'").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())))
+    hit = lambda k, t: F.max(((F.col("r") <= k) & (F.col("event_type") == t)).cast("int"))
+    return s.groupBy("user_id").agg(hit(20, "error").alias("exact"), hit(5, "view").alias("sub"), hit(5, "signup").alias("topic"))
+
+
+@query("prf_live_negative", f"{_SKIPS} SELECT user_id, {_LEVEL} AS level, ({_NEG})::DOUBLE AS confidence FROM m")
+def live_negative(v: Views) -> DataFrame:
+    return _skips(v).select("user_id", F.expr(_LEVEL).alias("level"), F.expr(_NEG).cast("double").alias("confidence"))
+
+
+@query("rank_point_feedback", f"{_SKIPS} SELECT user_id, {R6(f'0.3 + ({_NEG}) * (0.0 - 0.3)')} AS score FROM m")
+def point_feedback(v: Views) -> DataFrame:
+    """A feedback proof (strength 0) overrides the point score of 0.3 by its confidence."""
+    return _skips(v).select("user_id", r6(F.lit(0.3) + F.expr(_NEG).cast("double") * (F.lit(0.0) - 0.3)).alias("score"))
+
+
+# --- pairs -------------------------------------------------------------------------------------
+
+_REV = "CASE WHEN {x} LIKE 'left%' THEN 'right' || substr({x}, 5) WHEN {x} LIKE 'right%' THEN 'left' || substr({x}, 6) ELSE {x} END"
+PAIRS = _JOINED + f""",
+pp AS (SELECT l_impression AS impression, l_article, r_article, l_position, r_position, {_PAIR_SQL['pair_long_affinity']} AS structured, {_PAIR_SQL['pair_recency']} AS recency FROM prs),
+pf AS (SELECT impression, l_article, r_article, l_position, r_position, 'structured' AS family, structured AS value FROM pp UNION ALL SELECT impression, l_article, r_article, l_position, r_position, 'recency', recency FROM pp),
+lab AS (SELECT f.*, a.click AS lc, b.click AS rc FROM pf f JOIN exposures a ON a.impression = f.impression AND a.article = f.l_article JOIN exposures b ON b.impression = f.impression AND b.article = f.r_article),
+ori AS (SELECT family, value, lc AS y FROM lab WHERE lc <> rc UNION ALL SELECT family, {_REV.format(x='value')}, rc FROM lab WHERE lc <> rc),
+pr AS (SELECT family, value, count(*) AS n, sum(y)::BIGINT AS ny, greatest(1e-9, least(1 - 1e-9, 0.5 + count(*) / (count(*) + 800.0E0) * (sum(y) * 1.0E0 / count(*) - 0.5))) AS p FROM ori GROUP BY 1, 2),
+mg AS (SELECT family, value, ln(p / (1 - p)) AS margin FROM pr),
+pm AS (SELECT f.impression, f.l_article, f.r_article, f.l_position, f.r_position, f.family, coalesce(a.margin, 0) - coalesce(b.margin, 0) AS margin FROM pf f LEFT JOIN mg a ON a.family = f.family AND a.value = f.value LEFT JOIN mg b ON b.family = f.family AND b.value = {_REV.format(x='f.value')}),
+vt AS (SELECT impression, family, article, sum(m) AS margin, count(*) AS comparisons FROM (SELECT impression, family, l_article AS article, margin AS m FROM pm UNION ALL SELECT impression, family, r_article, -margin FROM pm) GROUP BY 1, 2, 3),
+gr AS (SELECT *, floor(margin / comparisons * 1e6 + 0.5) AS g FROM vt),
+md AS (SELECT *, 1 - (rank() OVER (PARTITION BY impression, family ORDER BY g DESC) - 1 + (count(*) OVER (PARTITION BY impression, family, g) - 1) / 2.0E0) / greatest(count(*) OVER (PARTITION BY impression, family) - 1, 1) AS mid FROM gr),
+bal AS (SELECT impression, article, avg(mid) AS score FROM md GROUP BY 1, 2)"""
+
+
+@query("prf_pair_active", f"{PAIRS} SELECT family, value, n, ny, {R6('ln(p / (1 - p))')} AS margin FROM pr")
+def pair_active(v: Views) -> DataFrame:
+    return ranking.pair_rules(ranking.pairs(v)).select("family", "value", "n", "ny", r6(F.col("margin")).alias("margin"))
+
+
+@query("jn_proof_lookup", f"{PAIRS} SELECT f.family, f.value, count(*) AS pairs, {R6('min(coalesce(a.margin, 0))')} AS margin FROM pf f LEFT JOIN mg a USING (family, value) GROUP BY 1, 2")
+def proof_lookup(v: Views) -> DataFrame:
+    p = ranking.pairs(v)
+    rules = ranking.pair_rules(p).select("family", "value", "margin")
+    rows = p.select(F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(f).alias("value")) for f in ranking.FAMILIES))).alias("x")).select("x.*").groupBy("family", "value").agg(F.count("*").alias("pairs"))
+    return rows.join(rules, ["family", "value"], "left").select("family", "value", "pairs", r6(F.coalesce("margin", F.lit(0.0))).alias("margin"))
+
+
+@query("prf_dependency_max", f"{PAIRS} SELECT impression, l_article, r_article, max_by(family, (floor(abs(margin) * 1e6 + 0.5), family)) AS family FROM pm GROUP BY 1, 2, 3")
+def dependency_max(v: Views) -> DataFrame:
+    """The family with the largest absolute margin of each pair, ties by name."""
+    m = ranking.pair_margins(v)
+    return m.groupBy("impression", "l_article", "r_article").agg(F.max_by("family", F.struct(grid(F.abs("margin")), F.col("family"))).alias("family"))
+
+
+@query("rank_pair_margin", f"{PAIRS} SELECT impression, article, family, {R6('margin')} AS margin, comparisons FROM vt")
+def pair_margin(v: Views) -> DataFrame:
+    return ranking.votes(ranking.pair_margins(v)).select("impression", "article", "family", r6(F.col("margin")).alias("margin"), "comparisons")
+
+
+@query("rank_family", f"{PAIRS} SELECT family, count(*) AS votes, count(*) FILTER (margin > 1e-9) AS favourable FROM vt GROUP BY 1")
+def family(v: Views) -> DataFrame:
+    return ranking.votes(ranking.pair_margins(v)).groupBy("family").agg(F.count("*").alias("votes"), F.count_if(F.col("margin") > 1e-9).alias("favourable"))
+
+
+@query("rank_family_norm", f"{PAIRS} SELECT impression, article, family, {R6('0.5 + 0.5 * margin / comparisons')} AS score FROM vt")
+def family_norm(v: Views) -> DataFrame:
+    return ranking.votes(ranking.pair_margins(v)).select("impression", "article", "family", r6(F.lit(0.5) + 0.5 * F.col("margin") / F.col("comparisons")).alias("score"))
+
+
+@query("win_midrank", f"{PAIRS} SELECT impression, article, family, {R6('mid')} AS midrank FROM md")
+def win_midrank(v: Views) -> DataFrame:
+    t = ranking.votes(ranking.pair_margins(v)).withColumn("g", grid(F.col("margin") / F.col("comparisons")))
+    return t.select("impression", "article", "family", r6(midrank(F.col("g"), "impression", "family")).alias("midrank"))
+
+
+@query("rank_balanced", f"{PAIRS} SELECT impression, article, {R6('score')} AS score FROM bal")
+def rank_balanced(v: Views) -> DataFrame:
+    return ranking.balanced(v).select("impression", "article", r6(F.col("score")).alias("score"))
+
+
+@query("win_slate_rank", f"{PAIRS} SELECT impression, article, row_number() OVER (PARTITION BY impression ORDER BY floor(score * 1e6 + 0.5) DESC, article) AS place FROM bal")
+def slate_rank(v: Views) -> DataFrame:
+    return ranking.balanced(v).select("impression", "article", F.row_number().over(Window.partitionBy("impression").orderBy(grid(F.col("score")).desc(), "article")).alias("place"))
+
+
+@query("rank_coverage", f"{PAIRS} SELECT impression, count(*) AS pairs, {R6('count(*) FILTER (abs(margin) > 1e-9) * 1.0E0 / count(*)')} AS directional FROM pm GROUP BY 1")
+def coverage(v: Views) -> DataFrame:
+    m = ranking.pair_margins(v)
+    return m.groupBy("impression").agg(F.count("*").alias("pairs"), r6(F.count_if(F.abs("margin") > 1e-9) / F.count("*")).alias("directional"))
+
+
+@query("rank_replay", f"{PAIRS} SELECT impression, article, {R6('sum(m)')} AS margin FROM (SELECT impression, l_article AS article, margin AS m FROM pm WHERE l_position > 0 UNION ALL SELECT impression, r_article, -margin FROM pm WHERE l_position > 0) GROUP BY 1, 2")
+def replay(v: Views) -> DataFrame:
+    """Re-rank what is left of a slate after its first candidate went, from the proved pairs."""
+    m = ranking.pair_margins(v).where("l_position > 0")
+    return ranking.votes(m).groupBy("impression", "article").agg(r6(F.sum("margin")).alias("margin"))
+
+
+@query("win_queue_delta", f"{PAIRS}, a AS (SELECT impression, article, row_number() OVER (PARTITION BY impression ORDER BY floor(score * 1e6 + 0.5) DESC, article) AS before FROM bal) SELECT a.impression, a.article, before - (e.position + 1) AS moved FROM a JOIN exposures e ON e.impression = a.impression AND e.article = a.article")
+def queue_delta(v: Views) -> DataFrame:
+    """Places moved from the source order to the ranked order."""
+    r = slate_rank(v).join(v.exposures().select("impression", "article", "position"), ["impression", "article"])
+    return r.select("impression", "article", (F.col("place") - (F.col("position") + 1)).alias("moved"))
+
+
+@query("ev_relational_audit", f"{POINTS} SELECT premises, count(*) AS activations, sum(c.y)::BIGINT AS clicks FROM act a JOIN cases c ON c.impression = a.impression AND c.article = a.article GROUP BY 1")
+def relational_audit(v: Views) -> DataFrame:
+    rows = ranking.activate(mining.cases(v), ranking.serving_rules(v)).select("y", F.explode("active.premises").alias("premises"))
+    return rows.groupBy("premises").agg(F.count("*").alias("activations"), F.sum("y").alias("clicks"))
+
+
+@query("rank_score_api", f"{POINTS} SELECT impression, string_agg(article::VARCHAR, ',' ORDER BY floor(score * 1e6 + 0.5) DESC, article) AS page FROM pt GROUP BY 1")
+def score_api(v: Views) -> DataFrame:
+    """Each slate as one ordered page of candidates."""
+    p = ranking.points(v).groupBy("impression").agg(F.array_sort(F.collect_list(F.struct((-grid(F.col("score"))).alias("a"), F.col("article").alias("b")))).alias("x"))
+    return p.select("impression", F.array_join(F.transform("x", lambda i: i["b"].cast("string")), ",").alias("page"))
