@@ -185,6 +185,7 @@ def _links(members: DataFrame, labels: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     order = F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("rid")).otherwise(-F.col("rid"))
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("o")).where("n > 1")
+    sized = materialise(sized)  # a join of two exchanges can be split where a bucket is very large
     leader = F.abs("o").alias("leader")
     pairs = materialise(members.join(sized.select("bucket", leader), "bucket").where("rid <> leader"))
     while True:
@@ -200,7 +201,7 @@ def _links(members: DataFrame, labels: DataFrame) -> DataFrame:
         leaders = pairs.select("bucket", F.col("leader").alias("rid")).distinct()
         rest = materialise(rest.join(leaders, ["bucket", "rid"], "left_anti"))
         count = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rest = materialise(rest.join(count, "bucket"))
+        rest = materialise(rest.join(materialise(count), "bucket"))
         few = rest.where(F.col("n") <= SETTLED).select("bucket", "rid").join(labels, "rid")
         found.append(materialise(few.groupBy("bucket").applyInPandas(_settle, "a bigint, b bigint")))
         many = rest.where(F.col("n") > SETTLED)
@@ -235,7 +236,7 @@ def classes(docs: DataFrame) -> DataFrame:
     label = components(_links(members, labels))
     texts = texts.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("label", "rid"))
     texts = materialise(texts.select("key", "copies", "first", "class"))
-    whole = texts.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best"))
+    whole = materialise(texts.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best")))
     named = texts.join(whole, "class").select("key", "class_size", "best")
     out = table.select("key", "doc_id", "digest", "rid").join(named, "key")
     return out.select("doc_id", "digest", F.col("best.id").alias("class_id"), "class_size", (F.col("rid") == F.col("best.row")).alias("kept"))
