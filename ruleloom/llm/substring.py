@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import row_digest, small_batches, text_of
+from ruleloom.llm.common import materialise, row_digest, small_batches, text_of
 
 #: Least words of a run of repeated units.
 MIN_WORDS = 32
@@ -106,6 +106,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, rank: str = "do
     occurrences = _occurrences(docs, rank)
     place = F.struct(F.col("rank").isNull().alias("a"), F.col("rank").alias("b"), F.col("doc_id").isNull().alias("c"), F.col("doc_id").alias("d"), F.col("row").alias("e"), F.col("pos").alias("f"))
     many = occurrences.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
+    many = materialise(many)  # a join of two exchanges can be split where one unit is very frequent
     later = occurrences.join(many, "digest").where(place != F.col("first"))
     found = later.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("repeated"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "repeated")
