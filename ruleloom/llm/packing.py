@@ -87,10 +87,10 @@ class Packer:
             self._close([(doc, start, ids, total)])
             return
         c = self.count
-        gain = c[size:] - c[: self.capacity - size + 1]  # at level h: count[h + size] - count[h]
+        gain = 2 * (c[size:] - c[: self.capacity - size + 1])  # at level h: the change of the sum less 2
         gain = np.where(c[: len(gain)] > 0, gain, np.iinfo(np.int64).max)
-        gain[-1] = -c[self.capacity - size] - 1 if c[self.capacity - size] > 0 else np.iinfo(np.int64).max
-        gain[0] = c[size]  # a new window
+        gain[-1] = -2 * c[self.capacity - size] - 1 if c[self.capacity - size] > 0 else np.iinfo(np.int64).max
+        gain[0] = 2 * c[size] - 1  # a new window
         # of equal choices the fullest window
         level = len(gain) - 1 - int(np.argmin(gain[::-1]))
         window = self.open[level].pop() if level else []
