@@ -95,10 +95,16 @@ def row_digest() -> Column:
     return F.xxhash64(text_of())
 
 
-def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` named by ``kept`` (doc_id, digest from row_digest), once each; all columns stay."""
+def keep_named(docs: DataFrame, kept: DataFrame, digest=None) -> DataFrame:
+    """Rows of ``docs`` named by ``kept`` (doc_id, digest), once each; all columns stay.
+
+    ``digest`` makes the digest of a text column, row_digest's by default.  Of rows that share a name
+    the longest text stays.  Columns of ``docs`` may have any names.
+    """
     named = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_named")).distinct()
-    found = docs.withColumn("_digest", row_digest())
-    found = found.join(named, found.doc_id.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_named")))
-    place = F.row_number().over(Window.partitionBy("_id", "_named").orderBy(F.lit(1)))
-    return found.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    own = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    doc_id, text = (f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    found = own.withColumn("_digest", (digest or F.xxhash64)(text_of(text)))
+    found = found.join(named, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_named")))
+    place = F.row_number().over(Window.partitionBy("_id", "_named").orderBy(F.length(text_of(text)).desc()))
+    return found.withColumn("_place", place).where("_place = 1").select(*own.columns).toDF(*docs.columns)

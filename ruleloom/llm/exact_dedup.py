@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BLANKS, materialise, text_of
+from ruleloom.llm.common import BLANKS, keep_named, materialise, text_of
 
 #: Counters of the summary, and so the largest number of winners that are broadcast.
 COUNTERS = 1024
@@ -79,9 +79,5 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def keep_rows(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay."""
-    kept = exact_dedup(docs, counters).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    found = docs.withColumn("_digest_of", F.sha2(normalised(text_of()).cast("binary"), 256))
-    found = found.join(kept, found.doc_id.eqNullSafe(F.col("_id")) & (F.col("_digest_of") == F.col("_digest")))
-    # of repeated rows with one id the one with most code points stays
-    order = Window.partitionBy("_id", "_digest").orderBy(F.length(text_of()).desc())
-    return found.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    kept = exact_dedup(docs, counters).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return keep_named(docs, kept, lambda t: F.sha2(normalised(t).cast("binary"), 256))
