@@ -1,4 +1,4 @@
-"""All registered queries of the engine and their SQL."""
+"""The table of queries and their SQL, and the decorator that fills it."""
 
 from __future__ import annotations
 
@@ -23,6 +23,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return fn
 
     return add
-
-
-from ruleloom.plans import q_evaluation, q_features, q_mining, q_ranking, q_sampling, q_scalars  # noqa: E402, F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Columns and time layouts of the logs.
 NEWS = ["id", "topic", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
 BEHAVIORS = ["impression", "usr", "time", "history", "candidates"]
-TIME_LAYOUTS = ["MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+TIME_LAYOUTS = ["M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss"]
 
 
 def _tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def parse_time(c: Column) -> Column:
 
 def parse_behaviors(rows: DataFrame) -> DataFrame:
     """Log lines to one row per candidate with its position, label, time and the history before it."""
-    split = rows.select("impression", "usr", parse_time(F.col("time")).alias("ts"), F.filter(F.split("history", " "), lambda x: x != "").alias("history"), F.posexplode(F.filter(F.split("candidates", " "), lambda x: x != "")).alias("position", "token"))
+    split = rows.select("impression", "usr", parse_time(F.col("time")).alias("ts"), F.filter(F.split(F.coalesce("history", F.lit("")), " "), lambda x: x != "").alias("history"), F.posexplode(F.filter(F.split(F.coalesce("candidates", F.lit("")), " "), lambda x: x != "")).alias("position", "token"))
     return split.select("impression", "usr", "ts", "history", "position", F.regexp_extract("token", r"^(.+)-([01])$", 1).alias("article"), F.regexp_extract("token", r"^(.+)-([01])$", 2).cast("int").alias("click"))
 
 
@@ -52,7 +52,7 @@ def read_behaviors(spark: SparkSession, path: str) -> DataFrame:
 def read_candidate_rows(spark: SparkSession, path: str) -> DataFrame:
     """The archive form with one candidate a row and ^-separated histories."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.select(F.col("imp_id").alias("impression"), F.col("user_id").alias("usr"), F.col("news_id").alias("article"), F.col("click").cast("int").alias("click"), "hour", F.filter(F.split("news_his", r"\^"), lambda x: x != "").alias("history"))
+    return rows.select(F.col("imp_id").alias("impression"), F.col("user_id").alias("usr"), F.col("news_id").alias("article"), F.col("click").cast("int").alias("click"), "hour", F.filter(F.split(F.coalesce("news_his", F.lit("")), r"\^"), lambda x: x != "").alias("history"))
 
 
 def merge_catalog(splits: list[DataFrame], core: list[str]) -> DataFrame:
