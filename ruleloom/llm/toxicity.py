@@ -28,7 +28,9 @@ from ruleloom.llm.common import crc_of_id, small_batches, with_texts
 
 TOKEN = re.compile(r"\w+|\n")
 #: Bound of the training sample: rows and megabytes of text of each class.
-SAMPLE_ROWS, SAMPLE_MB = 2500, 10
+SAMPLE_ROWS, SAMPLE_MB = 1500, 5
+#: Lines of the sample that train the chain.
+SAMPLE_LINES = 8000
 BITS = 16
 FAR = 30.0
 #: Longest chain: a longer line is cut into chains of so many tokens.
@@ -122,16 +124,26 @@ def tokens_of(text: str) -> list[str]:
 
 def marked_features(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Words and word beginnings that mark toxic documents; near copies count once."""
-    seen, counts, totals = set(), (Counter(), Counter()), [0, 0]
-    for tokens, y in zip(docs, toxic, strict=True):
+    seen, totals, first = set(), [0, 0], []
+    for at, (tokens, y) in enumerate(zip(docs, toxic, strict=True)):
+        key = (int(y), *sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens})[:3])
+        if key not in seen:
+            seen.add(key)
+            totals[y] += 1
+            first.append(at)
+
+    def features(tokens: list[str]) -> set[str]:
         words = {t.lower() for t in tokens if t != "\n"}
-        key = tuple(sorted(zlib.crc32(w.encode()) for w in words)[:3])
-        if key in seen:
-            continue
-        seen.add(key)
-        totals[y] += 1
-        counts[y].update({f"w={w}" for w in words} | {f"p={w[:k]}" for w in words for k in (4, 5, 6, 7) if len(w) > k})
-    clean, bad = counts
+        return {f"w={w}" for w in words} | {f"p={w[:k]}" for w in words for k in (4, 5, 6, 7) if len(w) > k}
+
+    bad, clean = Counter(), Counter()
+    for at in first:
+        if toxic[at]:
+            bad.update(features(docs[at]))
+    bad = Counter({f: n for f, n in bad.items() if n >= 4})  # only these can be marked
+    for at in first:
+        if not toxic[at]:
+            clean.update(features(docs[at]).intersection(bad))
     marked = set()
     for f, a in bad.items():
         if a >= 4:
@@ -170,7 +182,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
                 if any(tags) or rng.random() < 0.15:
                     lines.append((line, tags))
                 line = [t] if t != "\n" else []
-    lines = [lines[i] for i in rng.permutation(len(lines))[:15_000]]
+    lines = [lines[i] for i in rng.permutation(len(lines))[:SAMPLE_LINES]]
+    del docs
     lengths = np.array([len(a) for a, _ in lines])
     tag = np.array([t for _, b in lines for t in b])
     cache: dict = {}
@@ -181,7 +194,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
     prev, nxt = np.array([n[0] for n in near]), np.array([n[1] for n in near])
     prev, nxt = np.roll(prev, 1), np.roll(nxt, -1)
     prev[starts], nxt[starts + lengths - 1] = none, none
-    x = np.concatenate([own, prev[:, None], nxt[:, None]], axis=1)
+    x = np.concatenate([own, prev[:, None], nxt[:, None]], axis=1).astype(np.int32)
+    del own, near, cache
     inner = np.ones(len(tag), bool)
     inner[starts] = False
     here = np.flatnonzero(inner)
@@ -189,10 +203,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
     np.add.at(seen_moves, (tag[here - 1], tag[here]), 1)
     squares, move_squares = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
-        emission = crf.weights[x].sum(1)
+        emission = sum(crf.weights[column] for column in x.T)
         f, b, push = crf.lines(emission, lengths)
         p = f * b / (1 + f * b)
-        g = np.bincount(x.ravel(), np.repeat(p - tag, x.shape[1]), 1 << BITS) / len(lines) + ridge * crf.weights
+        g = sum(np.bincount(column, p - tag, 1 << BITS) for column in x.T) / len(lines) + ridge * crf.weights
         squares += g * g
         crf.weights = crf.weights - rate * g / np.sqrt(squares)
         t, a, c = np.exp(crf.moves), f[here - 1], push[here] * b[here]
@@ -201,7 +215,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
         move_squares += g2 * g2
         crf.moves = crf.moves - 0.1 * g2 / np.sqrt(move_squares)
     scorer = Scorer(crf)
-    stats = np.concatenate([scorer.statistics(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    stats = np.concatenate([scorer.statistics(texts[i : i + 200]) for i in range(0, len(texts), 200)])
     crf.curve = logistic(stats, y, np.ones(len(y)))
     return crf
 
