@@ -258,13 +258,23 @@ _MATCH = _TOK + """,
 inter AS (SELECT e.impression, e.article, h.lag, h.article AS h_article, sum(i.idf) AS w FROM exposures e JOIN hist h USING (impression) JOIN tok c ON c.article = e.article JOIN tok d ON d.article = h.article AND d.token = c.token JOIN idf i ON i.token = c.token GROUP BY 1, 2, 3, 4)"""
 
 
+def shared_tokens(v: Views, weighted: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """impression, article, h_article, lag and the idf of each token that a candidate and a history item share.
+
+    Joined on (impression, token): the rows follow the slates' sizes, never pairs of articles.
+    """
+    own = v.candidates().select("impression", "article").join(weighted, "article")
+    tokens = weighted.select(F.col("article").alias("h_article"), "token")
+    if extra is not None:
+        tokens = tokens.join(extra, "h_article")
+    items = v.history_items().select("impression", F.col("article").alias("h_article"), "lag").join(tokens, "h_article")
+    return own.join(items, ["impression", "token"])
+
+
 def title_matches(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Shared title weight of each (candidate, history item) that shares a token; articles' pairs are weighed once."""
+    """Shared title weight of each (candidate, history item) that shares a token, and each article's total."""
     _, weighted, total = title_model(v)
-    other = weighted.select(F.col("article").alias("h_article"), "token")
-    pairs = weighted.join(other, "token").groupBy("article", "h_article").agg(F.sum("idf").alias("w"))
-    items = v.history_items().select("impression", F.col("article").alias("h_article"), "lag")
-    return v.candidates().select("impression", "article").join(items, "impression").join(pairs, ["article", "h_article"]), total
+    return shared_tokens(v, weighted).groupBy("impression", "article", "h_article", "lag").agg(F.sum("idf").alias("w")), total
 
 
 @query("agg_title_jaccard", f"{_MATCH} SELECT i.impression, i.article, {R6('max(i.w / (a.s + b.s - i.w))')} AS jaccard FROM inter i JOIN csum a ON a.article = i.article JOIN csum b ON b.article = i.h_article GROUP BY 1, 2")
@@ -289,14 +299,13 @@ def bm25(v: Views) -> DataFrame:
     length = weighted.groupBy("article").agg(F.count("*").alias("len"))
     mean = length.agg(F.avg("len").alias("av"))
     norm = length.join(F.broadcast(mean)).select(F.col("article").alias("h_article"), (1 + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("av"))).alias("norm"))
-    other = weighted.select(F.col("article").alias("h_article"), "token").join(norm, "h_article")
-    raw = weighted.join(other, "token").groupBy("article", "h_article").agg(F.sum(F.col("idf") / F.col("norm")).alias("raw")).join(total, "article")
-    raw = raw.select("article", "h_article", (F.col("raw") / F.col("s")).alias("score"))
+    raw = shared_tokens(v, weighted, norm).groupBy("impression", "article", "lag").agg(F.sum(F.col("idf") / F.col("norm")).alias("raw")).join(total, "article")
+    raw = raw.select("impression", "article", (F.col("raw") / F.col("s")).alias("score"))
     items = v.history_items().select("impression", F.col("article").alias("h_article"), "lag")
     slate = v.candidates().select("impression", "article")
     size = items.groupBy("impression").agg(F.count("*").alias("n"))
     top = F.sort_array(F.collect_list("score"), asc=False)
-    score = slate.join(items, "impression").join(raw, ["article", "h_article"]).groupBy("impression", "article").agg(F.max("score").alias("peak"), F.slice(top, 1, 3).alias("t"))
+    score = raw.groupBy("impression", "article").agg(F.max("score").alias("peak"), F.slice(top, 1, 3).alias("t"))
     seen = items.join(weighted.select(F.col("article").alias("h_article"), "token"), "h_article").groupBy("impression", "token").agg(F.min("lag").alias("lag"))
     cover = slate.join(weighted, "article").join(seen, ["impression", "token"]).join(total, "article").groupBy("impression", "article").agg(
         (F.sum("idf") / F.min("s")).alias("c"), (F.sum(F.when(F.col("lag") < 5, F.col("idf")).otherwise(0.0)) / F.min("s")).alias("r"))

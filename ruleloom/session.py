@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def build(cores: int = 8, partitions: int = 8) -> SparkSession:
     conf = {
-        "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.driver.memory": "8g",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName("ruleloom").config(map=conf).getOrCreate()
