@@ -113,7 +113,7 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, own_rows: int = OWN_ROWS) -> DataFrame:
-    """doc_id, the base columns, base_failed, kept and ``beyond`` (the metrics beyond their fence).
+    """doc_id, the base columns, base_failed, kept and ``beyond`` (the names of the metrics beyond their fence).
 
     Needs doc_id, text, lang and source; other columns are ignored.  A null text has no words and
     fails the base rule.  Null languages and sources are groups of their own.  Repeated rows are
@@ -128,4 +128,4 @@ def quality_rules(docs: DataFrame, own_rows: int = OWN_ROWS) -> DataFrame:
     metrics = _metrics()
     beyond = F.filter(F.array(*(F.when(metrics[m] > F.coalesce(f"{m}_2", f"{m}_1", f"{m}_0"), F.lit(m)) for m in RULES)), lambda x: x.isNotNull())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return joined.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.size(beyond) == 0)).alias("kept"), beyond.alias("beyond"))
+    return joined.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.size(beyond) == 0)).alias("kept"), F.array_join(beyond, ",").alias("beyond"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import exact_dedup, langid, near_dedup, packing, pieces, quality_model, quality_rules, sharding, substring, toxicity
+from ruleloom.llm import exact_dedup, langid, near_dedup, oracles, packing, pieces, quality_model, quality_rules, sharding, substring, toxicity
 from ruleloom.llm.common import documents, labels
 
 
@@ -55,4 +55,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_dedup, op4_packing, op5_substring_dedup, op6_language_id, op7_sentencepiece, op8_sharding, op9_quality_rules, op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
