@@ -135,7 +135,7 @@ def test_merge_refuses_core_conflicts(spark):
 
 
 def test_split_discovery():
-    assert logs.find_splits(["/d/MINDsmall_train", "/d/train", "/d/x/deep/dev"]) == {"train": "/d/train", "dev": "/d/x/deep/dev"}
+    assert logs.find_splits(["/d/smalltrain", "/d/train", "/d/x/deep/dev"]) == {"train": "/d/train", "dev": "/d/x/deep/dev"}
 
 
 def test_model_is_verified_and_exclusive(spark, tmp_path):
