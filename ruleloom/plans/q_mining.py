@@ -37,6 +37,7 @@ def frequency_d2(v: Views) -> DataFrame:
     return mining.rules_out(mining.mine(mining.cases(v), 1))
 
 
+@query("mine_frequency", _rules_sql(["c1", "c2"]))
 @query("mine_frequency_d3", _rules_sql(["c1", "c2"]))
 def frequency_d3(v: Views) -> DataFrame:
     return mining.rules_out(mining.mine(mining.cases(v), 2))
