@@ -6,10 +6,11 @@ put back into text order and hashed to one bucket: two documents share it if the
 shingles in one order, which follows edit similarity better than plain min-hashing does.
 
 Documents with equal word sequences are collapsed to one representative before anything else.  In a bucket,
-every member is compared with the bucket's leader (the smallest row number for even hash functions, the largest for odd
-ones); the members that differ from it stay in the bucket.  Buckets in which few are left are
-settled in one task, larger ones by further rounds with many leaders each, until none is left.  So
-no bucket is capped and none emits all its pairs.
+every member is first compared with the bucket's leader (the smallest row number for even hash functions, the largest
+for odd ones).  The links found so far join rows to groups.  A bucket whose members are all in one group is done; in
+the others every pair of members of different groups is examined: a small bucket in one task, a larger one in blocks,
+one task for each pair of blocks.  Two blocks of the bucket's largest group need no such task.  So no bucket is capped,
+none emits its pairs, and the result does not depend on a bucket's size.
 
 Verification aligns the two shingle sequences: matching labels within a diagonal band (wider than
 the threshold allows to be unmatched), and the longest chain of them that runs forward in both.
@@ -36,8 +37,8 @@ from ruleloom.llm.graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Hash functions, and smallest labels that each one takes.
 HASHES, TAKEN = 12, 3
-#: Members of a bucket that one task settles, and leaders that a larger bucket gets in a round.
-SETTLED, LEADERS = 2000, 64
+#: Members of a bucket that one task settles; a larger bucket is split into blocks of half as many.
+SETTLED = 2000
 TABLE = "rid bigint, doc_id bigint, digest bigint, key binary, buckets array<bigint>, labels binary"
 
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,59 +162,67 @@ def shared_labels(labels: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _settle(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a bucket: only pairs that share enough labels and that no earlier link connects are aligned."""
+    """Links of a bucket or of two of its blocks: only pairs that share enough labels and that no earlier link connects are aligned."""
     rows = group.sort_values("rid")
-    rid, labels = rows.rid.tolist(), [np.frombuffer(x, "<u4") for x in rows.labels]
+    rid, labels, known = rows.rid.tolist(), [np.frombuffer(x, "<u4") for x in rows.labels], rows.known.to_numpy()
     size = np.array([len(x) for x in labels], np.float32)
     need = SIMILARITY / (1 + SIMILARITY) * (size[:, None] + size[None, :])
-    top, out = list(range(len(rid))), []
+    wanted = np.triu(shared_labels(labels) >= need - 1e-3, 1) & (known[:, None] != known[None, :])
+    if rows.left.iat[0] != rows.right.iat[0]:
+        block = rows.block.to_numpy()
+        wanted &= block[:, None] != block[None, :]
+    first: dict[int, int] = {}
+    top, out = [first.setdefault(k, i) for i, k in enumerate(known.tolist())], []
 
     def root(i: int) -> int:
         while top[i] != i:
             top[i] = i = top[top[i]]
         return i
 
-    for i, j in np.argwhere(np.triu(shared_labels(labels) >= need - 1e-3, 1)).tolist():
+    for i, j in np.argwhere(wanted).tolist():
         if root(i) != root(j) and aligned(labels[i], labels[j]):
             top[root(j)] = root(i)
             out.append((rid[i], rid[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _blocks(members: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, rid, known, block, left, right: the members of each pair of blocks that can hold a new link.
+
+    ``known`` (node, label) names the group of the rows that have one.  The members of a large bucket
+    that are outside its largest group have the first blocks, and meet all blocks.
+    """
+    grouped = members.join(known.withColumnRenamed("node", "rid"), "rid", "left")
+    grouped = materialise(grouped.select("bucket", "rid", F.coalesce("label", "rid").alias("known")))
+    sizes = grouped.groupBy("bucket", "known").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "known")).alias("most")).where("groups > 1")
+    half = F.lit(max(1, SETTLED // 2))
+    others, most = F.ceil((F.col("n") - F.col("most.n")) / half), F.ceil(F.col("most.n") / half)
+    small = F.col("n") <= SETTLED
+    mixed = materialise(mixed.select("bucket", F.col("most.known").alias("largest"), F.when(small, 1).otherwise(others).cast("int").alias("others"), F.when(small, 0).otherwise(most).cast("int").alias("most")))
+    place = F.xxhash64("bucket", "rid")
+    block = F.when((F.col("most") > 0) & (F.col("known") == F.col("largest")), F.col("others") + F.pmod(place, "most")).otherwise(F.pmod(place, "others"))
+    dealt = grouped.join(mixed, "bucket").withColumn("block", block.cast("int"))
+    met = F.col("others") + F.when(F.col("block") < F.col("others"), F.col("most")).otherwise(0)
+    dealt = dealt.select("bucket", "rid", "known", "block", F.explode(F.sequence(F.lit(0), met - 1)).alias("other"))
+    return dealt.select("bucket", "rid", "known", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+
+
 def _links(members: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b: verified links of ``members`` (bucket, rid); ``labels`` has rid and labels."""
-    found: list[DataFrame] = []
     order = F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("rid")).otherwise(-F.col("rid"))
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("o")).where("n > 1")
     sized = materialise(sized)  # a join of two exchanges can be split where a bucket is very large
     leader = F.abs("o").alias("leader")
-    pairs = materialise(members.join(sized.select("bucket", leader), "bucket").where("rid <> leader"))
-    while True:
-        distinct = pairs.select("rid", "leader").distinct()
-        own = labels.select("rid", F.col("labels").alias("x"))
-        other = labels.select(F.col("rid").alias("leader"), F.col("labels").alias("y"))
-        both = distinct.join(own, "rid").join(other, "leader").select("rid", "leader", "x", "y")
-        verdict = materialise(both.mapInArrow(_judge, "rid bigint, leader bigint, linked boolean"))
-        found.append(verdict.where("linked").select(F.col("rid").alias("a"), F.col("leader").alias("b")))
-        # a member leaves its bucket with the first leader that it is linked to
-        judged = pairs.join(verdict, ["rid", "leader"]).groupBy("bucket", "rid").agg(F.max("linked").alias("linked"))
-        rest = judged.where("not linked").select("bucket", "rid")
-        leaders = pairs.select("bucket", F.col("leader").alias("rid")).distinct()
-        rest = materialise(rest.join(leaders, ["bucket", "rid"], "left_anti"))
-        count = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rest = materialise(rest.join(materialise(count), "bucket"))
-        few = rest.where(F.col("n") <= SETTLED).select("bucket", "rid").join(labels, "rid")
-        found.append(materialise(few.groupBy("bucket").applyInPandas(_settle, "a bigint, b bigint")))
-        many = rest.where(F.col("n") > SETTLED)
-        if not many.limit(1).count():
-            break
-        chance = F.pmod(F.xxhash64("bucket", "rid", F.lit(len(found))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        chosen = many.where(chance < F.lit(float(LEADERS)) / F.col("n")).select("bucket", F.col("rid").alias("leader"))
-        pairs = materialise(many.select("bucket", "rid").join(chosen, "bucket").where("rid <> leader"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    pairs = members.join(sized.select("bucket", leader), "bucket").where("rid <> leader").select("rid", "leader").distinct()
+    own = labels.select("rid", F.col("labels").alias("x"))
+    other = labels.select(F.col("rid").alias("leader"), F.col("labels").alias("y"))
+    both = pairs.join(own, "rid").join(other, "leader").select("rid", "leader", "x", "y")
+    verdict = materialise(both.mapInArrow(_judge, "rid bigint, leader bigint, linked boolean"))
+    found = verdict.where("linked").select(F.col("rid").alias("a"), F.col("leader").alias("b"))
+    dealt = materialise(_blocks(members, components(found)))
+    settled = dealt.join(labels, "rid").groupBy("bucket", "left", "right").applyInPandas(_settle, "a bigint, b bigint")
+    return found.unionByName(materialise(settled))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -150,6 +150,29 @@ def test_near_dedup_keeps_links_of_a_large_bucket(spark, monkeypatch):
         assert sum(got[i] != root(i) for i in range(150)) <= (0 if settled == 2000 else 3)
 
 
+def edited(words, at, mark):
+    out = list(words)
+    for k in at:
+        out[k] = f"{mark}_{k}"
+    return out
+
+
+def test_near_dedup_compares_linked_members_with_the_rest(spark, monkeypatch):
+    """X is linked to the leader and to Y, and Y is not linked to the leader: one class, in a whole bucket and in blocks."""
+    base = [f"w{k}" for k in range(200)]
+    x = edited(base, (150, 160, 170), "x")
+    y = edited(x, (100, 110, 120), "y")
+    lone = [f"z{k}" for k in range(200)]
+    h = [(near_dedup.shingle_labels(near_dedup.words_of(" ".join(w))) >> np.uint64(32)).astype("<u4") for w in (base, x, y, lone)]
+    assert near_dedup.aligned(h[0], h[1]) and near_dedup.aligned(h[1], h[2]) and not near_dedup.aligned(h[0], h[2])
+    members = spark.createDataFrame([(b, r) for b in (2, 4) for r in range(4)], "bucket bigint, rid bigint")
+    labels = spark.createDataFrame([(r, bytearray(v.tobytes())) for r, v in enumerate(h)], "rid bigint, labels binary")
+    for settled in (2000, 2):
+        monkeypatch.setattr(near_dedup, "SETTLED", settled)
+        got = {r.node: r.label for r in graph.components(near_dedup._links(members, labels)).collect()}
+        assert got == {0: 0, 1: 0, 2: 0}
+
+
 def test_alignment_is_ordered():
     a = near_dedup.shingle_labels(near_dedup.words_of(BASE))
     assert near_dedup.aligned(a, a) == 1.0
