@@ -4,8 +4,9 @@ A text is cut into lines and, within lines, after sentence ends, so that a repea
 whether it stands alone or inside a paragraph.  A unit is normalised (lower case, white space
 collapsed) and hashed.  Digests are grouped over all documents; of each digest that occurs more than
 once the earliest occurrence (by rank, document id and position) is kept.  Later occurrences are
-removed where they form a run of neighbouring repeated units of ``min_words`` words or more; short
-common lines on their own stay.  What is removed is reported by its offsets in the original text.
+removed where they form a run of neighbouring repeated units of ``min_words`` words or more; very short
+lines on their own stay.  In scripts without blanks characters count, not words.  What is removed
+is reported by its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.common import materialise, row_digest, small_batches, text_of
 
-#: Least words of a run of repeated units.
-MIN_WORDS = 32
+#: Least words of a run of repeated units: only very short ones, such as a heading of their own, stay.
+MIN_WORDS = 4
+#: A character of a script that puts no blanks between words (Thai to Burmese, Khmer, kana, Chinese).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: The end of a unit: a line break, or white space after a sentence's last mark.
 CUT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+")
 #: Digests of one document that travel in one row.
@@ -46,6 +49,12 @@ def unit_digest(unit: str) -> int:
     return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def length(unit: str) -> int:
+    """Words of a unit; of a script without blanks each character counts as one."""
+    found = UNSPACED.findall(unit)
+    return len(found) + len((UNSPACED.sub(" ", unit) if found else unit).split())
+
+
 def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: set[int], min_words: int) -> list[tuple[int, int]]:
     """Offsets of the runs of repeated units (given by number) with ``min_words`` words or more."""
     out, i = [], 0
@@ -56,7 +65,7 @@ def repeated_runs(text: str, spans: list[tuple[int, int]], repeated: set[int], m
         j = i
         while j + 1 < len(spans) and j + 1 in repeated:
             j += 1
-        if sum(len(text[a:b].split()) for a, b in spans[i : j + 1]) >= min_words:
+        if sum(length(text[a:b]) for a, b in spans[i : j + 1]) >= min_words:
             out.append((spans[i][0], spans[j][1]))
         i = j + 1
     return out

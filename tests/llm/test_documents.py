@@ -200,6 +200,13 @@ def test_substring_dedup(docs, empty):
     assert kept.columns == docs.columns and substring.keep_rows(empty).count() == 0
 
 
+def test_substring_dedup_removes_short_and_unspaced_passages(spark):
+    latin, chinese = "Seven words of a sentence are enough.", "这是一个没有空格的重复段落"
+    df = spark.createDataFrame([(i, f"own{i}\n{latin}\nedit{i} here\n{chinese}\nclose{i}\nThe end.") for i in range(2)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in substring.substring_dedup(df).collect()}
+    assert got[0].removed_spans == [] and got[1].text == "own1\nedit1 here\nclose1\nThe end."
+
+
 def test_unit_offsets_cover_the_text():
     text = "One. Two three!\n\nFour  five? six\n"
     assert [text[a:b] for a, b in substring.units(text)] == ["One.", "Two three!", "Four  five?", "six"]
