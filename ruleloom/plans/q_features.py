@@ -320,16 +320,26 @@ n AS (SELECT count(*) AS n FROM u), tk AS (SELECT unnest(list_distinct(t)) AS to
 SELECT token, count(*) AS df, {R6('ln(1 + (min(n) - count(*) + 0.5E0) / (count(*) + 0.5E0))')} AS idf FROM tk, n GROUP BY 1"""
 
 
-@query("agg_lexical_idf", _LEX)
-def lexical_idf(v: Views) -> DataFrame:
-    """Inverse document frequencies over the different token multisets of the texts."""
-    t = v.table("documents").where("lang = 'en'").select(F.array_sort(text.lexical_tokens(F.col("text"), ascii_only=True)).alias("t")).where(F.size("t") > 0)
+def _idf(t: DataFrame) -> DataFrame:
     u = t.groupBy(F.sha2(F.array_join("t", " "), 256).alias("k")).agg(F.first("t").alias("t"))
     n = u.agg(F.count("*").alias("n"))
     tk = u.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n))
     return tk.select("token", "df", r6(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 
+@query("agg_lexical_idf", _LEX)
+def lexical_idf(v: Views) -> DataFrame:
+    """Inverse document frequencies over the different token multisets of the texts."""
+    t = v.table("documents").where("lang = 'en'").select(F.array_sort(text.lexical_tokens(F.col("text"), ascii_only=True)).alias("t")).where(F.size("t") > 0)
+    return _idf(t)
+
+
+@query("agg_lexical_idf_unicode")
+def lexical_idf_unicode(v: Views) -> DataFrame:
+    """The same over the texts of all languages, with Unicode words; DuckDB has no NFKC or case folding, so no SQL."""
+    return _idf(v.table("documents").select(F.array_sort(text.unicode_tokens(F.col("text"))).alias("t")).where(F.size("t") > 0))
+
+
 @query("jn_title_overlap", f"{_TOK}, seen AS (SELECT DISTINCT h.impression, t.token FROM hist h JOIN tok t USING (article)) SELECT e.impression, e.article, {buckets.sql('count_none', 'count(s.token)')} AS title_overlap FROM exposures e LEFT JOIN tok t ON t.article = e.article LEFT JOIN seen s ON s.impression = e.impression AND s.token = t.token GROUP BY 1, 2")
 def title_overlap(v: Views) -> DataFrame:
     _, weighted, _ = title_model(v)

@@ -79,6 +79,13 @@ def title_tokens(v: Views) -> DataFrame:
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
+@query("prj_title_tokens_unicode")
+def title_tokens_unicode(v: Views) -> DataFrame:
+    """The same for the texts of all languages, with Unicode words; DuckDB has no NFKC or case folding, so no SQL."""
+    rows = v.table("documents").select("doc_id", F.array_sort(text.unicode_tokens(F.col("text"), title=True)).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
 @query("prj_lexical_tokens", f"SELECT conv_id, turn, len(t) AS n_tokens, coalesce(array_to_string(t, ' '), '') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(substr(text, 1, 20000)), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda x: length(x) > 2 AND NOT list_contains({list(text.LEXICAL_STOP)!r}, x))[1:512] AS t FROM conversations)")
 def lexical_tokens(v: Views) -> DataFrame:
     rows = v.table("conversations").select("conv_id", "turn", text.lexical_tokens(F.col("text"), ascii_only=True).alias("t"))

@@ -75,3 +75,23 @@ import __spark_entry__ as e
 assert "pipeline" not in e.queries() and not any(q.startswith("op") for q in e.queries()) and len(e.queries()) > 100 and e.oracle_sql()
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, timeout=120).returncode == 0
+
+
+def test_unicode_tokens_of_all_documents_match_brute_force(spark, duck):
+    import math
+    import re
+    import unicodedata
+    from collections import Counter
+
+    from ruleloom.functions import text
+
+    texts = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    fold = lambda x: unicodedata.normalize("NFKC", x).casefold()
+    title = [(i, sorted({w for w in re.findall(r"[\w']+", fold(x)) if len(w) > 2 and w not in text.TITLE_STOP})) for i, x in texts]
+    got = catalog.QUERIES["prj_title_tokens_unicode"](spark, TABLES).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.tokens) for r in got) == sorted((i, len(t), " ".join(t)) for i, t in title)
+    lexical = {tuple(sorted([w for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", fold(x[:20_000])) if len(w) > 2 and w not in text.LEXICAL_STOP][:512])) for _, x in texts} - {()}
+    df = Counter(w for t in lexical for w in set(t))
+    found = {r.token: (r.df, r.idf) for r in catalog.QUERIES["agg_lexical_idf_unicode"](spark, TABLES).collect()}
+    assert {w: d for w, (d, _) in found.items()} == dict(df)
+    assert all(abs(x - math.log(1 + (len(lexical) - d + 0.5) / (d + 0.5))) < 2e-6 for d, x in found.values())
