@@ -173,6 +173,21 @@ def test_near_dedup_compares_linked_members_with_the_rest(spark, monkeypatch):
         assert got == {0: 0, 1: 0, 2: 0}
 
 
+def test_near_dedup_links_do_not_depend_on_the_block_size(spark, monkeypatch):
+    """Chains whose ends are only linked through the middle stay whole where a bucket is far larger than what one task settles."""
+    h = []
+    for i in range(150):
+        base = [f"c{i}w{k}" for k in range(200)]
+        x = edited(base, (150, 160, 170), "x")
+        for w in (base, x, edited(x, (100, 110, 120), "y")):
+            h.append((near_dedup.shingle_labels(near_dedup.words_of(" ".join(w))) >> np.uint64(32)).astype("<u4"))
+    members = spark.createDataFrame([(2, r) for r in range(450)], "bucket bigint, rid bigint")
+    labels = spark.createDataFrame([(r, bytearray(x.tobytes())) for r, x in enumerate(h)], "rid bigint, labels binary")
+    monkeypatch.setattr(near_dedup, "SETTLED", 100)
+    got = {r.node: r.label for r in graph.components(near_dedup._links(members, labels)).collect()}
+    assert got == {r: r // 3 * 3 for r in range(450)}
+
+
 def test_alignment_is_ordered():
     a = near_dedup.shingle_labels(near_dedup.words_of(BASE))
     assert near_dedup.aligned(a, a) == 1.0
