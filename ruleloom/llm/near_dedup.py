@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import keep_named, materialise, row_digest, small_batches, text_of
+from ruleloom.llm.common import keep_named, materialise, release, row_digest, small_batches, text_of
 from ruleloom.llm.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -205,7 +205,9 @@ def _blocks(members: DataFrame, known: DataFrame) -> DataFrame:
     dealt = grouped.join(mixed, "bucket").withColumn("block", block.cast("int"))
     met = F.col("others") + F.when(F.col("block") < F.col("others"), F.col("most")).otherwise(0)
     dealt = dealt.select("bucket", "rid", "known", "block", F.explode(F.sequence(F.lit(0), met - 1)).alias("other"))
-    return dealt.select("bucket", "rid", "known", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    dealt = materialise(dealt.select("bucket", "rid", "known", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")))
+    release(grouped, mixed)
+    return dealt
 
 
 def _links(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,10 +221,13 @@ def _links(members: DataFrame, labels: DataFrame) -> DataFrame:
     other = labels.select(F.col("rid").alias("leader"), F.col("labels").alias("y"))
     both = pairs.join(own, "rid").join(other, "leader").select("rid", "leader", "x", "y")
     verdict = materialise(both.mapInArrow(_judge, "rid bigint, leader bigint, linked boolean"))
+    release(sized)
     found = verdict.where("linked").select(F.col("rid").alias("a"), F.col("leader").alias("b"))
-    dealt = materialise(_blocks(members, components(found)))
-    settled = dealt.join(labels, "rid").groupBy("bucket", "left", "right").applyInPandas(_settle, "a bigint, b bigint")
-    return found.unionByName(materialise(settled))
+    dealt = _blocks(members, components(found))
+    settled = materialise(dealt.join(labels, "rid").groupBy("bucket", "left", "right").applyInPandas(_settle, "a bigint, b bigint"))
+    links = materialise(found.unionByName(settled))
+    release(dealt, verdict, settled)
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -231,23 +236,30 @@ def classes(docs: DataFrame) -> DataFrame:
     The first row of a class by id (null ids last) is kept.  Words are split at ASCII white space and
     compared in lower case.  A text of fewer than five words is one shingle, so only equal ones are
     linked; all texts without words (null and empty ones too) form one class.  Repeated rows are copies of each
-    other.  Other columns are ignored; an empty table gives no rows.
+    other, and one of them is kept.  Texts of any length are compared whole.  Other columns, whatever
+    their names, are ignored; an empty table gives no rows.
     """
     table = materialise(_signatures(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("rid").alias("row")))
     texts = materialise(table.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), first.alias("first")))
     only = table.select("rid", "buckets").join(texts.select("rid"), "rid", "left_semi")
-    members = materialise(only.select("rid", F.explode("buckets").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialise(members.join(shared.hint("merge"), "bucket"))
+    every = materialise(only.select("rid", F.explode("buckets").alias("bucket")))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = materialise(every.join(shared.hint("merge"), "bucket"))
+    release(every)
     wanted = members.select("rid").distinct()
     labels = materialise(table.select("rid", "labels").join(wanted.hint("merge"), "rid"))
-    label = components(_links(members, labels))
-    texts = texts.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("label", "rid"))
-    texts = materialise(texts.select("key", "copies", "first", "class"))
-    whole = materialise(texts.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best")))
-    named = texts.join(whole, "class").select("key", "class_size", "best")
-    out = table.select("key", "doc_id", "digest", "rid").join(named, "key")
+    links = _links(members, labels)
+    label = components(links)
+    release(members, labels, links)
+    grouped = texts.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("label", "rid"))
+    grouped = materialise(grouped.select("key", "copies", "first", "class"))
+    release(texts)
+    # written, so that the joins below are of plain exchanges, which adaptive execution can split
+    whole = materialise(grouped.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best")))
+    named = materialise(grouped.join(whole.hint("merge"), "class").select("key", "class_size", "best"))
+    release(grouped, whole)
+    out = table.select("key", "doc_id", "digest", "rid").join(named.hint("merge"), "key")
     return out.select("doc_id", "digest", F.col("best.id").alias("class_id"), "class_size", (F.col("rid") == F.col("best.row")).alias("kept"))
 
 
