@@ -8,7 +8,8 @@ and endings, its shape and its neighbours, hashed.  A document's statistics are
 maxima of the tokens' marginals; a logistic curve fitted on the training documents maps them to 0..1.
 
 The messages of a two-state chain are kept as odds, and all lines of a batch advance together, so
-the recursion is one vector step per token position.
+the recursion is one vector step per token position.  A line is one chain, however long: a long one is
+worked on in blocks side by side, whose transfer matrices give the odds at the blocks' borders first.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import crc_of_id, small_batches, with_texts
+from ruleloom.llm.common import class_sizes, class_weights, crc_of_id, small_batches, with_texts
 
 TOKEN = re.compile(r"\w+|\n")
 #: Bound of the training sample: rows and megabytes of text of each class.
 SAMPLE_ROWS, SAMPLE_MB = 1500, 5
-#: Lines of the sample that train the chain.
-SAMPLE_LINES = 8000
+#: Lines of the sample that train the chain, and the share of lines without a marked token that are drawn for it.
+SAMPLE_LINES, UNTAGGED_SHARE = 8000, 0.15
 BITS = 16
 FAR = 30.0
-#: Longest chain: a longer line is cut into chains of so many tokens.
-CHAIN = 256
+#: Tokens of a chain that are worked on in one block.
+BLOCK = 256
 CACHE_WORDS = 200_000
 SPAN_AT = 0.5
 
@@ -69,27 +70,70 @@ class Crf:
     moves: np.ndarray  # log potentials [from, to]
     curve: np.ndarray  # intercept and weights of the document statistics
 
-    def lines(self, emission: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward odds, backward odds and the order of steps, for lines laid end to end."""
-        starts = np.cumsum(lengths) - lengths
-        order = np.argsort(-lengths, kind="stable")
-        sizes, first = lengths[order], starts[order]
+    def lines(self, emission: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward odds, backward odds and token odds, for lines laid end to end."""
+        lengths = lengths[lengths > 0]
+        parts = -(-lengths // block)
+        size = np.full(parts.sum(), block)
+        last = np.cumsum(parts) - 1
+        size[last] = lengths - (parts - 1) * block
+        begins, ends = np.zeros(len(size), bool), np.zeros(len(size), bool)
+        ends[last], begins[last - parts + 1] = True, True
+        starts = np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        sizes, first = size[order], starts[order]
         push = np.exp(np.clip(emission, -FAR, FAR))
         t = np.exp(self.moves)
         forward, backward = np.empty_like(push), np.ones_like(push)
         active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-        if len(active):
-            forward[first] = push[first]
+        ahead = lambda odds, odds_in: np.clip(odds * (t[0, 1] + odds_in * t[1, 1]) / (t[0, 0] + odds_in * t[1, 0]), 1e-15, 1e15)
+        behind = lambda x: np.clip((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), 1e-15, 1e15)
+        forward[starts] = push[starts]
+        if not begins.all():
+            enter, leave = self._borders(push, starts, size, begins, ends, t)
+            inner = np.flatnonzero(~begins)
+            forward[starts[inner]] = ahead(push[starts[inner]], enter[inner])
+            inner = np.flatnonzero(~ends)
+            backward[starts[inner] + size[inner] - 1] = leave[inner]
         for k in range(1, len(active)):
             at = first[: active[k]] + k
-            r = forward[at - 1]
-            forward[at] = np.clip(push[at] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0]), 1e-15, 1e15)
+            forward[at] = ahead(push[at], forward[at - 1])
         for k in range(len(active) - 1, 0, -1):
             at = first[: active[k]] + k
-            x = push[at] * backward[at]
-            backward[at - 1] = np.clip((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), 1e-15, 1e15)
+            backward[at - 1] = behind(push[at] * backward[at])
         return forward, backward, push
 
+    @staticmethod
+    def _borders(push: np.ndarray, starts: np.ndarray, size: np.ndarray, begins: np.ndarray, ends: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward odds that enter each block and backward odds at its end, by the blocks' transfer matrices."""
+        long = np.flatnonzero(~(begins & ends))  # in the order of the text; all but the last of a chain are full
+        matrix = np.tile(np.eye(2), (len(long), 1, 1))
+        for k in range(int(size[long].max())):
+            live = np.flatnonzero(size[long] > k)
+            odds = push[starts[long[live]] + k]
+            step = np.stack([np.ones(len(live)), odds], axis=1)
+            move = np.where((begins[long[live]] & (k == 0))[:, None, None], np.eye(2), t)
+            matrix[live] = matrix[live] @ (move * step[:, None, :])
+            matrix[live] /= matrix[live].sum((1, 2))[:, None, None]
+        enter, leave = np.ones(len(size)), np.ones(len(size))
+        odds = 1.0
+        for i, at in enumerate(long):
+            if begins[at]:
+                row = matrix[i].sum(0)  # before the first token both states are alike
+            else:
+                enter[at] = odds
+                row = np.array([1.0, odds]) @ matrix[i]
+            odds = min(max(row[1] / max(row[0], 1e-300), 1e-15), 1e15)
+        odds = 1.0
+        for i in range(len(long) - 1, -1, -1):
+            at = long[i]
+            if ends[at]:
+                odds = 1.0
+            leave[at] = odds
+            column = matrix[i] @ np.array([1.0, odds])
+            odds = min(max(column[1] / max(column[0], 1e-300), 1e-15), 1e15)
+        return enter, leave
+
     def marginals(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         forward, backward, _ = self.lines(emission, lengths)
         odds = forward * backward
@@ -160,8 +204,11 @@ def is_marked(word: str, marked: set[str]) -> bool:
     return f"w={low}" in marked or any(f"p={low[:k]}" in marked for k in (4, 5, 6, 7) if len(low) > k)
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5, ridge: float = 1e-3, seed: int = 5) -> Crf:
-    """Train the chain and the document curve; with no label of one class the curve is a constant."""
+def fit(texts: list[str], toxic: list[int], weight: np.ndarray | None = None, steps: int = 80, rate: float = 0.5, ridge: float = 1e-3, seed: int = 5) -> Crf:
+    """Train the chain and the document curve; with no label of one class the curve is a constant.
+
+    ``weight`` gives the documents of a sample their class's share of all labelled documents in the curve.
+    """
     y = np.array(toxic, int)
     docs = [tokens_of(t) for t in texts]
     crf = Crf(np.zeros(1 << BITS), np.zeros((2, 2)), np.array([-3.0, 0, 0, 0]))
@@ -175,13 +222,13 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
     for tokens, bad in zip(docs, y, strict=True):
         line: list[str] = []
         for t in [*tokens, "\n"]:
-            if t != "\n" and len(line) < CHAIN:
+            if t != "\n":
                 line.append(t)
             elif line:
                 tags = [int(bool(bad) and is_marked(w, marked)) for w in line]
-                if any(tags) or rng.random() < 0.15:
+                if any(tags) or rng.random() < UNTAGGED_SHARE:
                     lines.append((line, tags))
-                line = [t] if t != "\n" else []
+                line = []
     lines = [lines[i] for i in rng.permutation(len(lines))[:SAMPLE_LINES]]
     del docs
     lengths = np.array([len(a) for a, _ in lines])
@@ -216,7 +263,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.5,
         crf.moves = crf.moves - 0.1 * g2 / np.sqrt(move_squares)
     scorer = Scorer(crf)
     stats = np.concatenate([scorer.statistics(texts[i : i + 200]) for i in range(0, len(texts), 200)])
-    crf.curve = logistic(stats, y, np.ones(len(y)))
+    crf.curve = logistic(stats, y, np.ones(len(y)) if weight is None else weight)
     return crf
 
 
@@ -268,11 +315,7 @@ class Scorer:
             parts.append(len(emissions[-1]))
         emission = np.concatenate(emissions) if emissions else np.zeros(0)
         size = np.concatenate(lengths) if lengths else np.zeros(0, int)
-        chains = -(-size // CHAIN)
-        chain = np.full(chains.sum(), CHAIN)
-        ends = np.cumsum(chains)[chains > 0] - 1
-        chain[ends] = (size - (chains - 1) * CHAIN)[chains > 0]
-        return self.crf.marginals(emission, chain), np.repeat(np.arange(len(texts)), parts)
+        return self.crf.marginals(emission, size), np.repeat(np.arange(len(texts)), parts)
 
     def statistics(self, texts: list[str]) -> np.ndarray:
         return statistics(*self.marginals(texts), len(texts))
@@ -303,9 +346,10 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, megabytes: int = SAMPLE_MB) -> Crf:
     """Fit on a bounded sample of labelled rows whose crc32 of the id, modulo 5, is not 0."""
     known = labels.where(F.col("toxic").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    found = with_texts(docs, known, "toxic", rows, megabytes)
+    sizes = class_sizes(known, "toxic")
+    found = with_texts(docs, known, "toxic", rows, megabytes, sizes)
     found = found.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(found.text.tolist(), found.toxic.tolist())
+    return fit(found.text.tolist(), found.toxic.tolist(), class_weights(found.toxic, sizes))
 
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
@@ -314,9 +358,9 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, spans ar
 def toxicity(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and the offsets of offending spans, for every row of ``docs``.
 
-    Null and empty texts have no tokens and get the score of no evidence.  Repeated rows are scored
-    alike; other columns are ignored; an empty table gives no rows.  Without labels of both classes
-    the score is a constant.
+    Null and empty texts have no tokens and get the score of no evidence.  Texts and lines of any length
+    are scored whole.  Repeated rows are scored alike; other columns, whatever their names, are ignored; an
+    empty table gives no rows.  Without labels of both classes the score is a constant.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
