@@ -7,19 +7,20 @@ row counts differ by one at most.
 
 A source may hold any share of the rows, so no rank is taken by one task.  Rows are put into slices
 of the (uniform) sort key, slices are counted, running totals over the counts give each slice its
-offset, and only rows of one slice are sorted together.
+offset, and only rows of one slice are sorted together.  An id may hold any share of the rows too: the
+digest of an id that occurs more than once also takes in the row's number, which deals its rows out evenly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import materialise, text_of
 
 SHARDS = 8
 #: Rows that one slice holds on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 #: Slices whose counts are summed in one task; their totals are summed one level up.
 SLICES_A_BLOCK = 10_000
 SCHEMA = "doc_id bigint, source string, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int"
@@ -37,20 +38,21 @@ def _offsets(counts: DataFrame, keys: list[str], slice_name: str) -> DataFrame:
     return counts.withColumn("within", within).join(blocks, [*keys, "block"]).select(*keys, slice_name, (F.col("within") + F.col("ahead")).alias("offset"))
 
 
-def _digest(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-
-
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document (see SCHEMA); ``slot`` runs without gaps from 0 in each shard.
 
-    A null source is a source of its own.  A null text has size 1 and the checksum of no bytes.
-    Ties of the digest (repeated ids) are ordered by id, checksum and size; wholly equal rows are
-    interchangeable.  Other columns are ignored; an empty table gives no rows, and fewer rows than
-    shards leave shards empty.
+    A null source is a source of its own.  A null text has size 1 and the checksum of no bytes; texts of
+    any length count whole.  A null id is shuffled like an empty one.  Rows that share an id are shuffled by
+    their place in the table as well, so which of them takes which place may change if the table is laid out
+    anew; all other rows keep theirs.  Other columns, whatever their names, are ignored; an empty table gives
+    no rows, and fewer rows than shards leave shards empty.
     """
     data = F.encode(text_of(), "UTF-8")
-    rows = docs.select("doc_id", "source", (F.octet_length(text_of()) + 1).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"), _digest(seed).alias("digest"))
+    rows = docs.select("doc_id", "source", (F.octet_length(text_of()) + 1).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+    often = materialise(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key", F.lit(True).alias("often")))
+    name = F.when(F.col("often"), F.concat_ws(":", F.lit(str(seed)), "key", F.col("row").cast("string"))).otherwise(F.concat_ws(":", F.lit(str(seed)), "key"))
+    rows = rows.join(often.hint("merge"), "key", "left").withColumn("digest", F.md5(name.cast("binary"))).drop("key", "row", "often")
     rows = rows.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("none")))
     rows = materialise(rows)
     totals = rows.groupBy("stratum").agg(F.count("*").alias("rows"))
