@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import crc_of_id, in_bytes, small_batches, training_sample
+from ruleloom.llm.common import class_sizes, crc_of_id, in_bytes, small_batches, training_sample
 
 BITS = 17
 #: Bound of the training sample: rows and megabytes of text of each language.
 SAMPLE_ROWS, SAMPLE_MB = 500, 3
+#: Languages that are learned: the most frequent ones, which bounds the tables of weights.
+LANGUAGES = 64
 SCALE = 40.0
 UNKNOWN = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -117,7 +119,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, alpha: float = 0.3,
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, megabytes: int = SAMPLE_MB) -> Model:
     """Fit on a bounded sample of documents with a language whose crc32 of the id, modulo 4, is not 2."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(4)) != 2))
-    found = in_bytes(training_sample(known.select("doc_id", "text", "lang"), "lang", rows), "lang", megabytes).toPandas().sort_values(["doc_id", "text"])
+    sizes = class_sizes(known, "lang", LANGUAGES)
+    few = training_sample(known.select("doc_id", "text", "lang"), "lang", rows, sizes=sizes)
+    found = in_bytes(few, "lang", megabytes).toPandas().sort_values(["doc_id", "text"])
     return fit(found.text.tolist(), found.lang.tolist())
 
 
@@ -125,7 +129,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of ``docs``.
 
     A text that is null or has no letter is ``und`` with score 0.  With no labelled row every text
-    is ``und``.  Repeated rows get equal results; other columns are ignored.
+    is ``und``.  Texts of any length are read whole.  Repeated rows get equal results; of equal
+    scores the first language by name wins.  Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import crc_of_id, small_batches, training_sample
+from ruleloom.llm.common import class_sizes, class_weights, crc_of_id, small_batches, training_sample
 
 #: Bound of the training sample: rows of each label value (only their statistics are collected).
 SAMPLE_ROWS = 5000
@@ -126,9 +126,13 @@ def grow(x: np.ndarray, bins: list[np.ndarray], code: np.ndarray, target: np.nda
         grow(x, bins, code, target, hessian, side, depth - 1, least, more, out, value)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, penalty: float = 5e-4, steps: int = 300, seed: int = 11) -> Ensemble:
-    """Boost trees, pool the rules of their paths and fit weights under an L1 penalty (proximal gradient with momentum)."""
-    share = float(y.mean()) if len(y) else 0.5
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 20, depth: int = 3, rate: float = 0.3, penalty: float = 5e-4, steps: int = 300, seed: int = 11) -> Ensemble:
+    """Boost trees, pool the rules of their paths and fit weights under an L1 penalty (proximal gradient with momentum).
+
+    ``weight`` (of mean 1) gives the rows of a sample their class's share of all labelled rows.
+    """
+    weight = np.ones(len(y)) if weight is None else weight
+    share = float((weight * y).mean()) if len(y) else 0.5
     share = min(max(share, 1e-3), 1 - 1e-3)
     start = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
@@ -143,7 +147,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: flo
         rows = np.flatnonzero(rng.random(len(y)) < 0.7)
         step = np.zeros(len(y))
         if len(rows):
-            grow(x, bins, code, y - p, p * (1 - p), rows, depth, least, (), pool, step)
+            grow(x, bins, code, weight * (y - p), weight * p * (1 - p), rows, depth, least, (), pool, step)
         z += rate * step
     pool = list({r.parts: r for r in pool}.values())
     held, keep, seen = [], [], set()
@@ -157,9 +161,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: flo
         return Ensemble([], np.zeros(0), start)
     a = np.stack(held, axis=1).astype(float)
     w, b, v, vb, t = np.zeros(a.shape[1]), start, np.zeros(a.shape[1]), start, 1.0
-    pace = 4.0 * len(y) / (np.linalg.norm(a, 2) ** 2 + len(y))
+    pace = 4.0 * len(y) / (np.linalg.norm(a, 2) ** 2 + len(y)) / max(1.0, weight.max())
     for _ in range(steps):
-        e = 1 / (1 + np.exp(-(a @ v + vb))) - y
+        e = weight * (1 / (1 + np.exp(-(a @ v + vb))) - y)
         u = v - pace * (a.T @ e) / len(y)
         new, nb = np.sign(u) * np.maximum(0, np.abs(u) - pace * penalty), vb - pace * e.mean()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -172,29 +176,34 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: flo
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ensemble:
     """Fit on a bounded sample of labelled rows whose crc32 of the id, modulo 5, is not 0."""
     known = labels.where(F.col("quality").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    few = training_sample(known, "quality", rows)
+    sizes = class_sizes(known, "quality")
+    few = training_sample(known, "quality", rows, sizes=sizes)
     found = statistics(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["doc_id", "quality"]).toPandas()
     found = found.sort_values(["doc_id", *STATISTICS])
-    weight = found.quality.to_numpy(float)
-    return fit(found[STATISTICS].to_numpy(float), weight)
+    return fit(found[STATISTICS].to_numpy(float), found.quality.to_numpy(float), class_weights(found.quality, sizes))
 
 
 def quality(docs: DataFrame, labels: DataFrame, at: float = 0.3, also: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted (and the columns ``also``) for every row of ``docs``.
 
-    A null text is scored like an empty one, by the rules that hold for zeros.  Repeated rows are
-    scored alike; other columns are ignored; an empty table gives no rows.  Without labels of both
-    values the score is a constant.
+    A null text is scored like an empty one, by the rules that hold for zeros; texts of any length
+    are read whole.  Repeated rows are scored alike; other columns are ignored, and those of ``also`` may
+    have any names but doc_id, held_out, score and predicted, which come out under ``original_<name>``.
+    An empty table gives no rows.  Without labels of both values the score is a constant.
     """
     model = train(docs, labels)
-    names = list(dict.fromkeys(["doc_id", *(also or [])]))
-    rows = statistics(docs, names)
-    out = rows.select(*names, (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), model.column().alias("score"))
+    names = list(dict.fromkeys(c for c in also or [] if c != "doc_id"))
+    own = [f"_own{i}" for i in range(len(names) + 2)]
+    rows = statistics(docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in names)).toDF(*own), [own[0], *own[2:]], own[1])
+    score = model.column().alias("score")
+    new = {"held_out", "score", "predicted"}
+    shown = [F.col(o).alias(f"original_{c}" if c in new else c) for o, c in zip(own[2:], names, strict=True)]
+    out = rows.select(F.col(own[0]).alias("doc_id"), *shown, (F.pmod(crc_of_id(own[0]), F.lit(5)) == 0).alias("held_out"), score)
     return out.withColumn("predicted", (F.col("score") >= at).cast("int"))
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose score is below ``at``; all columns stay."""
+    """``docs`` without the rows whose score is below ``at``; all columns, whatever their names, stay."""
     model = train(docs, labels)
     own = [f"_own{i}" for i in range(len(docs.columns))]
     rows = statistics(docs.toDF(*own), own, own[docs.columns.index("text")]).where(model.column() >= at)
