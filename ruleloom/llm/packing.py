@@ -155,8 +155,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document (see SCHEMA); every id lies in exactly one piece.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A null or empty text is one
-    token, ``end_id``.  Rows are packed one by one, repeated rows and null ids included.  An empty
+    ``docs`` needs ``doc_id`` and ``text``; other columns, whatever their names, are ignored.  A null or
+    empty text is one token, ``end_id``; a text of any length is cut into full windows and a remainder.  Rows are packed one by one, repeated rows and null ids included.  An empty
     table gives no rows.  ``sequence_id`` is the task's number times 2^32 plus a running number.
     """
     small_batches(docs.sparkSession)

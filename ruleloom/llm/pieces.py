@@ -195,7 +195,8 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True, smoothing: f
     """doc_id, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit numbers), lossless, and ids.
 
     ``lossless`` says that decoding the ids gave the text again.  Null and empty texts have no
-    pieces.  A null id has the key 0; repeated rows get equal segmentations; other columns are ignored.
+    pieces; texts of any length are encoded whole.  A null id has the key 0; repeated rows get equal
+    segmentations.  Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * with_ids
@@ -217,14 +218,15 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True, smoothing: f
                 pa.array([coder.decode(x.tolist()) == t for x, t in zip(found, texts, strict=True)], pa.bool_()),
             ]
             if with_ids:
-                columns.append(pa.array([x.tolist() for x in found], pa.list_(pa.int32())))
+                bounds = np.cumsum([0, *map(len, found)])
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and text of rows with ids; null ids give a null text."""
+    """doc_id and text of rows with ids, one by one; null ids give a null text, an empty table no rows.  Other columns are ignored."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
