@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import buckets, truth
+from ruleloom.operators import running
 from ruleloom.plans.views import Views, r6
 
 SHARE = "CASE WHEN known = 0 THEN 0.0E0 ELSE topic_count / (known * 1.0E0) END"
@@ -48,11 +49,15 @@ def conjunctions(depth: int) -> Column:
     return F.array(*(F.struct(F.concat_ws(" & ", *map(premise, s)).alias("premises"), F.lit(k).alias("size")) for k in range(1, depth + 1) for s in combinations(PREDICATES, k)))
 
 
+def counts(rows: DataFrame, depth: int) -> DataFrame:
+    """premises, size, n and ny of every conjunction that occurs."""
+    return rows.select("y", F.explode(conjunctions(depth)).alias("c")).groupBy("c.premises", "c.size").agg(F.count("*").alias("n"), F.sum("y").alias("ny"))
+
+
 def contingency(rows: DataFrame, depth: int) -> DataFrame:
     """premises, size, n, ny and the universe's total_n, total_ny (case rows and positive rows)."""
-    counts = rows.select("y", F.explode(conjunctions(depth)).alias("c")).groupBy("c.premises", "c.size").agg(F.count("*").alias("n"), F.sum("y").alias("ny"))
     total = rows.agg(F.count("*").alias("total_n"), F.sum("y").alias("total_ny"))
-    return counts.join(F.broadcast(total))
+    return counts(rows, depth).join(F.broadcast(total))
 
 
 def branches(c: DataFrame, k: float = truth.K) -> DataFrame:
@@ -108,13 +113,8 @@ def quantile_cuts(values: DataFrame, bins: int) -> DataFrame:
 
     Equal values are never split; of two splits equally near the lower one is taken.
     """
-    from pyspark.sql import Window
-
-    d = values.groupBy("value").agg(F.sum("weight").alias("weight"))
-    order = Window.orderBy("value")
-    c = d.select("value", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.lead("value").over(order).alias("next"), F.row_number().over(order).alias("i"))
-    total = d.agg(F.sum("weight").alias("total"))
-    t = c.where("next is not null").join(F.broadcast(total)).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("k"))
+    c = running.ordered(values.groupBy("value").agg(F.sum("weight").alias("weight")), [])
+    t = c.where("next is not null").select("*", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("k"))
     gap = F.floor(F.abs(F.col("cum") - F.col("total") * F.col("k") / bins) * 1e6 + 0.5)
     best = t.groupBy("k").agg(F.min(F.struct(gap.alias("gap"), F.col("i").alias("i"), F.col("next").alias("cut"))).alias("b"))
     return best.select("k", F.col("b.cut").alias("cut"))

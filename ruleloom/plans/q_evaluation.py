@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import buckets
-from ruleloom.operators import evaluation, ranking
+from ruleloom.operators import evaluation, ranking, running
 from ruleloom.operators.ranking import grid
 from ruleloom.plans.q_ranking import PAIRS, POINTS
 from ruleloom.plans.registry import query
@@ -174,11 +174,19 @@ def source_third(v: Views) -> DataFrame:
     return rows.select("impression", F.floor(3 * (F.col("ahead") + F.col("r") - 1) / F.col("total")).cast("int").alias("third"))
 
 
-@query("ev_slate_digest", f"{EVAL} SELECT sha256(string_agg(impression || ':' || k || ':' || n, ',' ORDER BY impression)) AS digest FROM sl")
+_PARTS = "pa AS (SELECT impression // 1000 AS part, sha256(string_agg(impression || ':' || k || ':' || n, ',' ORDER BY impression)) AS d FROM sl GROUP BY 1), pb AS (SELECT part // 1000 AS part, sha256(string_agg(d, ',' ORDER BY part)) AS d FROM pa GROUP BY 1)"
+
+
+@query("ev_slate_digest", f"{EVAL}, {_PARTS} SELECT sha256(string_agg(d, ',' ORDER BY part)) AS digest FROM pb")
 def slate_digest(v: Views) -> DataFrame:
+    """One digest of all slates in order, in levels: no task holds more than a thousand slates or digests, but for the last."""
     s = v.candidates().groupBy("impression").agg(F.sum("click").alias("k"), F.count("*").alias("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("impression", "k", "n"))), lambda x: F.concat_ws(":", x["impression"], x["k"], x["n"])), ",")
-    return s.agg(F.sha2(text, 256).alias("digest"))
+    s = s.select(F.col("impression").alias("part"), F.concat_ws(":", "impression", "k", "n").alias("d"))
+    for _ in range(2):
+        at, whole = F.floor(F.col("part") / 1000).alias("to"), F.array_sort(F.collect_list(F.struct("part", "d")))
+        s = s.groupBy(at).agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["d"]), ","), 256).alias("d")).withColumnRenamed("to", "part")
+    whole = F.array_sort(F.collect_list(F.struct("part", "d")))
+    return s.agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["d"]), ","), 256).alias("digest"))
 
 
 @query("ev_cohort_audit", f"{FEATURES} SELECT year(ts) AS year, count(DISTINCT impression) AS slates, count(*) AS candidates, count(DISTINCT usr) AS users FROM feat GROUP BY 1")
@@ -199,8 +207,7 @@ def tune_select(v: Views) -> DataFrame:
 @query("agg_latency", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def latency(v: Views) -> DataFrame:
     """Nearest-rank percentiles of each event type, from counts of distinct values."""
-    n = v.table("events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("event_type")
-    c = n.withColumns({"upto": F.sum("n").over(w.orderBy("value")), "total": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(q)), F.col("value")))
+    n = v.table("events").groupBy("event_type", "value").agg(F.count("*").alias("weight"))
+    c = running.ordered(n, ["event_type"])
+    at = lambda q: F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * F.lit(q)), F.col("value")))
     return c.groupBy("event_type").agg(F.first("total").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import buckets, text
-from ruleloom.operators import vectors
+from ruleloom.operators import running, vectors
 from ruleloom.plans.registry import query
 from ruleloom.plans.views import BASE, DECAY, FEATURES, R6, Views, r6
 
@@ -80,10 +80,8 @@ _SMOOTH = "CASE WHEN exposures_before = 0 THEN NULL ELSE (clicks_before + 1.0E0)
 
 def prior_counters(v: Views) -> DataFrame:
     """Exposures and clicks of each candidate's article before its impression."""
-    earlier = Window.partitionBy("article").orderBy("ts", "impression").rowsBetween(Window.unboundedPreceding, -1)
-    rows = v.candidates().join(v.impressions().select("impression", "ts"), "impression")
-    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    return rows.select("impression", "article", "ts", before(F.lit(1)).alias("exposures_before"), before(F.col("click")).alias("clicks_before"))
+    rows = v.candidates().join(v.impressions().select("impression", "ts"), "impression").select("impression", "article", "ts", "click")
+    return running.before(rows, ["article"], {"exposures_before": F.lit(1), "clicks_before": F.col("click")}).drop("click")
 
 
 @query("win_prior_ctr", f"{_BEFORE} SELECT {KEY}, exposures_before, clicks_before, {R6('(clicks_before + 1.0E0) / (exposures_before + 10)')} AS smoothed_ctr FROM prior")
@@ -169,36 +167,31 @@ def transition_score(v: Views) -> DataFrame:
 
 
 _PRIOR_T = BASE + """,
-ex AS (SELECT e.impression, e.article, e.click, e.ts, a.subcategory AS b FROM exposures e JOIN articles a USING (article)),
-pair AS (SELECT DISTINCT x.impression, x.ts, x.b, r.a FROM ex x JOIN (SELECT DISTINCT impression, h_subcategory AS a FROM hist WHERE lag < 5) r USING (impression)),
-ab AS (SELECT p.a, p.b, p.impression, p.ts, sum(x.click) AS c, count(*) AS e FROM pair p JOIN ex x ON x.impression = p.impression AND x.b = p.b GROUP BY 1, 2, 3, 4),
-bb AS (SELECT b, impression, ts, sum(click) AS c, count(*) AS e FROM ex GROUP BY 1, 2, 3),
-gg AS (SELECT impression, ts, sum(click) AS c, count(*) AS e FROM ex GROUP BY 1, 2),
-g AS (SELECT impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM gg WINDOW w AS (ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-b AS (SELECT b, impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM bb WINDOW w AS (PARTITION BY b ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT a, b, impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM ab WINDOW w AS (PARTITION BY a, b ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-gs AS (SELECT impression, CASE WHEN e = 0 THEN 0.0E0 ELSE c * 1.0E0 / e END AS g FROM g),
-bs AS (SELECT b.b, b.impression, (b.c + 20 * gs.g) / (b.e + 20) AS cs FROM b JOIN gs USING (impression)),
-tbest AS (SELECT t.b, t.impression, max((t.c + 10 * bs.cs) / (t.e + 10)) AS tr FROM t JOIN bs ON bs.b = t.b AND bs.impression = t.impression WHERE t.e > 0 GROUP BY 1, 2)"""
+ex AS MATERIALIZED (SELECT e.impression, e.article, e.click, e.ts, a.subcategory AS b FROM exposures e JOIN articles a USING (article)),
+pair AS MATERIALIZED (SELECT DISTINCT x.impression, x.ts, x.b, r.a FROM ex x JOIN (SELECT DISTINCT impression, h_subcategory AS a FROM hist WHERE lag < 5) r USING (impression)),
+ab AS MATERIALIZED (SELECT p.a, p.b, p.impression, p.ts, sum(x.click) AS c, count(*) AS e FROM pair p JOIN ex x ON x.impression = p.impression AND x.b = p.b GROUP BY 1, 2, 3, 4),
+bb AS MATERIALIZED (SELECT b, impression, ts, sum(click) AS c, count(*) AS e FROM ex GROUP BY 1, 2, 3),
+gg AS MATERIALIZED (SELECT impression, ts, sum(click) AS c, count(*) AS e FROM ex GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM gg WINDOW w AS (ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS MATERIALIZED (SELECT b, impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM bb WINDOW w AS (PARTITION BY b ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS MATERIALIZED (SELECT a, b, impression, coalesce(sum(c) OVER w, 0) AS c, coalesce(sum(e) OVER w, 0) AS e FROM ab WINDOW w AS (PARTITION BY a, b ORDER BY ts, impression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gs AS MATERIALIZED (SELECT impression, CASE WHEN e = 0 THEN 0.0E0 ELSE c * 1.0E0 / e END AS g FROM g),
+bs AS MATERIALIZED (SELECT b.b, b.impression, (b.c + 20 * gs.g) / (b.e + 20) AS cs FROM b JOIN gs USING (impression)),
+tbest AS MATERIALIZED (SELECT t.b, t.impression, max((t.c + 10 * bs.cs) / (t.e + 10)) AS tr FROM t JOIN bs ON bs.b = t.b AND bs.impression = t.impression WHERE t.e > 0 GROUP BY 1, 2)"""
 
 
 @query("win_prior_transition", f"{_PRIOR_T} SELECT b, impression, {R6('greatest(bs.cs, coalesce(tbest.tr, -1.0))')} AS score FROM bs LEFT JOIN tbest USING (b, impression)")
 def prior_transition(v: Views) -> DataFrame:
     """The transition score from counters before the impression, at all three levels."""
-    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("ts", "impression").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    seq = sequence(v)
     ex = v.candidates().join(v.impressions().select("impression", "ts"), "impression").join(v.articles().select("article", F.col("subcategory").alias("b")), "article")
-    clicks = ex.groupBy("impression").agg(F.sum("click").alias("c")).join(seq, "impression").withColumn("day", F.to_date("ts"))
-    days = clicks.groupBy("day").agg(F.sum("c").alias("d")).withColumn("ahead", before("d", Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    g = clicks.withColumn("within", before("c", earlier("day"))).join(days, "day")
-    g = g.select("impression", F.when(F.col("seq") == 0, F.lit(0.0)).otherwise((F.col("ahead") + F.col("within")) / F.col("seq")).alias("g"))
-    bb = ex.groupBy("b", "impression", "ts").agg(F.sum("click").alias("c"), F.count("*").alias("e"))
-    bs = bb.select("b", "impression", before("c", earlier("b")).alias("c"), before("e", earlier("b")).alias("e")).join(g, "impression")
+    both = {"c": F.col("clicks"), "e": F.col("shown")}
+    bb = ex.groupBy("b", "impression", "ts").agg(F.sum("click").alias("clicks"), F.count("*").alias("shown"))
+    gg = bb.groupBy("impression", "ts").agg(F.sum("clicks").alias("clicks"), F.sum("shown").alias("shown"))
+    g = running.before(gg, [], both).select("impression", F.when(F.col("e") == 0, F.lit(0.0)).otherwise(F.col("c") / F.greatest(F.col("e"), F.lit(1))).alias("g"))
+    bs = running.before(bb, ["b"], both).join(g, "impression")
     bs = bs.select("b", "impression", ((F.col("c") + 20 * F.col("g")) / (F.col("e") + 20)).alias("cs"))
     recent = v.history_articles().where("lag < 5").select("impression", F.col("h_subcategory").alias("a")).distinct()
-    ab = bb.join(recent, "impression")
-    t = ab.select("a", "b", "impression", before("c", earlier("a", "b")).alias("c"), before("e", earlier("a", "b")).alias("e")).where("e > 0")
+    t = running.before(bb.join(recent, "impression"), ["a", "b"], both).where("e > 0")
     best = t.join(bs, ["b", "impression"]).groupBy("b", "impression").agg(F.max((F.col("c") + 10 * F.col("cs")) / (F.col("e") + 10)).alias("tr"))
     return bs.join(best, ["b", "impression"], "left").select("b", "impression", r6(F.greatest("cs", F.coalesce("tr", F.lit(-1.0)))).alias("score"))
 
@@ -314,7 +307,7 @@ def bm25(v: Views) -> DataFrame:
     return rows.select("impression", "article", r6(F.col("peak")).alias("peak"), r6(mean3).alias("top3"), r6(F.col("c")).alias("coverage"), r6(F.col("r")).alias("recent_coverage"))
 
 
-_LEX = f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(substr(text, 1, 20000)), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda x: length(x) > 2 AND NOT list_contains({list(text.LEXICAL_STOP)!r}, x))[1:512] AS t FROM documents WHERE lang = 'en'),
+_LEX = f"""WITH d AS (SELECT list_filter(regexp_extract_all({text.fold_sql("coalesce(substr(text, 1, 20000), '')")}, '{text.WORD}(?:''{text.WORD})?'), lambda x: length(x) > 2 AND NOT list_contains({list(text.LEXICAL_STOP)!r}, x))[1:512] AS t FROM documents),
 u AS (SELECT DISTINCT list_sort(t) AS t FROM d WHERE len(t) > 0),
 n AS (SELECT count(*) AS n FROM u), tk AS (SELECT unnest(list_distinct(t)) AS token FROM u)
 SELECT token, count(*) AS df, {R6('ln(1 + (min(n) - count(*) + 0.5E0) / (count(*) + 0.5E0))')} AS idf FROM tk, n GROUP BY 1"""
@@ -329,14 +322,7 @@ def _idf(t: DataFrame) -> DataFrame:
 
 @query("agg_lexical_idf", _LEX)
 def lexical_idf(v: Views) -> DataFrame:
-    """Inverse document frequencies over the different token multisets of the texts."""
-    t = v.table("documents").where("lang = 'en'").select(F.array_sort(text.lexical_tokens(F.col("text"), ascii_only=True)).alias("t")).where(F.size("t") > 0)
-    return _idf(t)
-
-
-@query("agg_lexical_idf_unicode")
-def lexical_idf_unicode(v: Views) -> DataFrame:
-    """The same over the texts of all languages, with Unicode words; DuckDB has no NFKC or case folding, so no SQL."""
+    """Inverse document frequencies over the different token multisets of the texts of all languages, by Unicode words."""
     return _idf(v.table("documents").select(F.array_sort(text.unicode_tokens(F.col("text"))).alias("t")).where(F.size("t") > 0))
 
 

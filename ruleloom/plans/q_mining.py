@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text, truth
-from ruleloom.operators import mining
+from ruleloom.operators import incremental, mining
 from ruleloom.operators.mining import MIN_SUPPORT, PREDICATES
+from ruleloom.plans import q_scalars
 from ruleloom.plans.registry import query
 from ruleloom.plans.views import FEATURES, R6, Views, r6
+from ruleloom.session import shared_folder
 
 CASES = FEATURES + """,
 cases AS (SELECT impression, article, ts, click AS y, """ + ", ".join(f"{x} AS {p}" for p, x in PREDICATES.items()) + """ FROM feat),
@@ -184,10 +189,26 @@ def agg_fold_effects(v: Views) -> DataFrame:
     return fold_effects(v).select("premises", "fold", "n", r6(F.col("effect")).alias("effect"), r6(stable).alias("stable"))
 
 
-@query("mine_gates", f"{_FOLD} SELECT premises, sum(n)::BIGINT AS n, count(*) AS folds FROM fe GROUP BY 1 HAVING sum(n) >= 16 AND count(*) >= 2 AND min(effect) >= -0.03")
+#: Least effect in the worst fold; predicates whose values are categories need all three folds, others two.
+MIN_EFFECT, CATEGORIES = 0.03, ("topic",)
+
+
+_EFFECT = "c.ny * 1.0E0 / c.n - ty * 1.0E0 / tn"
+
+
+@query("mine_gates", f"""{_FOLD}, ff AS (SELECT * FROM fe WHERE n >= {MIN_SUPPORT} / 3.0E0),
+ga AS (SELECT c.premises, min(c.n) AS n, count(ff.fold) AS folds, min({_EFFECT}) AS effect, min(ff.effect) AS stable, CASE WHEN split_part(c.premises, '=', 1) = 'topic' THEN 3 ELSE 2 END AS needed FROM c1 c LEFT JOIN ff ON ff.premises = c.premises, tot GROUP BY c.premises),
+gb AS (SELECT *, n >= {MIN_SUPPORT} AS supported, effect > 0 AS positive, folds >= needed AS spread, coalesce(stable >= {MIN_EFFECT}::DOUBLE, false) AS steady FROM ga)
+SELECT premises, n, folds, {R6('effect')} AS effect, {R6('stable')} AS stable, supported, positive, spread, steady, supported AND positive AND spread AND steady AS passed FROM gb""")
 def gates(v: Views) -> DataFrame:
-    g = fold_effects(v).groupBy("premises").agg(F.sum("n").alias("n"), F.count("*").alias("folds"), F.min("effect").alias("stable"))
-    return g.where("n >= 16 and folds >= 2 and stable >= -0.03").drop("stable")
+    """Every rule with its gates: support, a positive effect over all cases, and an effect of MIN_EFFECT in each of enough
+    folds (those that hold a third of the least support); ``passed`` takes all of them."""
+    one = mining.contingency(mining.cases(v), 1)
+    g = fold_effects(v).where(F.col("n") >= MIN_SUPPORT / 3).groupBy("premises").agg(F.count("*").alias("folds"), F.min("effect").alias("stable"))
+    needed = F.when(F.split("premises", "=")[0].isin(*CATEGORIES), 3).otherwise(2)
+    rows = one.join(g, "premises", "left").fillna(0, ["folds"]).withColumn("effect", F.col("ny") / F.col("n") - F.col("total_ny") / F.col("total_n"))
+    rows = rows.withColumns({"supported": F.col("n") >= MIN_SUPPORT, "positive": F.col("effect") > 0, "spread": F.col("folds") >= needed, "steady": F.coalesce(F.col("stable") >= MIN_EFFECT, F.lit(False))})
+    return rows.select("premises", "n", "folds", r6(F.col("effect")).alias("effect"), r6(F.col("stable")).alias("stable"), "supported", "positive", "spread", "steady", F.expr("supported and positive and spread and steady").alias("passed"))
 
 
 # --- pairs -------------------------------------------------------------------------------------
@@ -220,12 +241,8 @@ def pair_cases(v: Views) -> DataFrame:
 
 @query("jn_unordered_pairs", f"{FEATURES} SELECT a.impression, a.article AS l_article, b.article AS r_article FROM feat a JOIN feat b ON a.impression = b.impression AND a.position < b.position")
 def unordered_pairs(v: Views) -> DataFrame:
-    e = v.exposures().select("impression", "article", "position")
-    worst = e.groupBy("impression").count().agg(F.max("count").alias("n")).first()
-    if worst and worst.n and worst.n * (worst.n - 1) // 2 > 32_768:
-        raise ValueError("a slate has more pairs than the budget of 32768")
-    r = e.select("impression", F.col("article").alias("r_article"), F.col("position").alias("r"))
-    return e.select("impression", F.col("article").alias("l_article"), F.col("position").alias("l")).join(r, "impression").where("l < r").select("impression", "l_article", "r_article")
+    p = q_scalars.slate_pairs(v.exposures().select("impression", "article", "position"))
+    return p.select(F.col("l_impression").alias("impression"), "l_article", "r_article")
 
 
 # --- quantiles ---------------------------------------------------------------------------------
@@ -328,13 +345,53 @@ def hybrid_seed(v: Views) -> DataFrame:
 # --- incremental ------------------------------------------------------------------------------
 
 
-@query("mine_incremental", f"{CASES} SELECT premises, n, ny FROM c1 UNION ALL SELECT premises, n, ny FROM c2")
-def incremental(v: Views) -> DataFrame:
-    """Counts of old cases merged with counts of new ones, against a full recount in the SQL."""
-    rows = mining.cases(v)
-    part = lambda r: mining.contingency(r, 2).select("premises", "n", "ny")
-    old, new = part(rows.where("year(ts) < 1997")), part(rows.where("year(ts) >= 1997"))
-    return old.unionByName(new).groupBy("premises").agg(F.sum("n").alias("n"), F.sum("ny").alias("ny"))
+def _plan(v: Views) -> tuple[incremental.Plan, DataFrame]:
+    """A new plan, and the cases written once, as every update reads them several times."""
+    at = f"{shared_folder(v.spark)}/plan-{uuid.uuid4().hex}"
+    mining.cases(v).write.parquet(f"{at}-cases")
+    return incremental.Plan(at), v.spark.read.parquet(f"{at}-cases")
+
+
+@query("mine_incremental", f"{CASES}, k AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), b AS ({_branches('k')}) SELECT premises, n, ny, {R6('strength')} AS strength, {R6('negative_strength')} AS negative_strength, 'delta_updated' AS mode FROM b WHERE ny >= {MIN_SUPPORT}")
+def incremental_rules(v: Views) -> DataFrame:
+    """Rules after an update with the cases from 1997 on, against a full recount in the SQL."""
+    plan, rows = _plan(v)
+    plan.mine(rows.where("year(ts) < 1997"))
+    rules, audit = plan.mine(rows)
+    return rules.select("premises", "n", "ny", r6(F.col("strength")).alias("strength"), r6(F.col("negative_strength")).alias("negative_strength"), F.lit(audit.mode).alias("mode"))
+
+
+_STEP = "SELECT {k} AS step, '{mode}' AS mode, (SELECT count(*) FROM cases WHERE {cases}) AS total_cases, (SELECT count(*) FROM cases WHERE {searched}) AS researched_cases, (SELECT count(*) FROM ({patterns})) AS patterns, (SELECT sum(n)::BIGINT FROM ({patterns})) AS mass"
+
+
+def _step_sql(k: int, mode: str, cases: str, searched: str, depth: int = 2, row: str = "facts") -> str:
+    fact = f"(SELECT * FROM {row} WHERE {cases})"
+    one = f"SELECT predicate || '=' || value AS premises, count(*) AS n FROM {fact} GROUP BY 1"
+    two = f"SELECT a.predicate || '=' || a.value || ' & ' || b.predicate || '=' || b.value AS premises, count(*) AS n FROM {fact} a JOIN {fact} b ON a.impression = b.impression AND a.article = b.article AND a.predicate < b.predicate GROUP BY 1"
+    return _STEP.format(k=k, mode=mode, cases=cases, searched=searched, patterns=one if depth == 1 else f"{one} UNION ALL {two}")
+
+
+_ALL, _OLD, _NEW = "true", "year(ts) < 1997", "year(ts) >= 1996"
+_EDITED = "(SELECT impression, article, ts, y, predicate, CASE WHEN predicate = 'history' AND impression % 97 = 0 THEN 'edited' ELSE value END AS value FROM facts)"
+_STEPS = " UNION ALL ".join([
+    _step_sql(1, "full_seed", _OLD, _OLD), _step_sql(2, "reused", _OLD, "false"), _step_sql(3, "delta_updated", _ALL, "year(ts) >= 1997"), _step_sql(4, "rebuilt_full", _ALL, _ALL, row=_EDITED),
+    _step_sql(5, "reconfigured_full", _ALL, _ALL, depth=1), _step_sql(6, "reconfigured_full", _ALL, _ALL), _step_sql(7, "retention_expired_full", _NEW, _NEW),
+])
+
+
+@query("mine_incremental_modes", f"{CASES} {_STEPS}")
+def incremental_modes(v: Views) -> DataFrame:
+    """One plan through all six modes: what each step searched, and the mass of all its conjunctions, against full recounts."""
+    (plan, rows), out = _plan(v), []
+    old, new = rows.where("year(ts) < 1997"), rows.where("year(ts) >= 1996")
+    edited = rows.withColumn("history", F.when(F.col("impression") % 97 == 0, "edited").otherwise(F.col("history")))
+    units = lambda r: r.select("impression").distinct()
+    steps = [(old, 2, None), (old, 2, None), (rows, 2, None), (edited, 2, None), (rows, 1, None), (rows, 2, units(rows)), (new, 2, units(new))]
+    for k, (r, depth, kept) in enumerate(steps, 1):
+        rules, audit = plan.mine(r, depth, 0, kept)
+        mass = rules.agg(F.sum("n").alias("mass"))
+        out.append(mass.select(F.lit(k).alias("step"), F.lit(audit.mode).alias("mode"), *(F.lit(x).cast("bigint").alias(n) for n, x in (("total_cases", audit.total_cases), ("researched_cases", audit.researched_cases), ("patterns", audit.patterns))), "mass"))
+    return reduce(DataFrame.unionByName, out)
 
 
 _DIFF = "WITH a AS (SELECT o_orderkey AS k, sha256(o_orderstatus || '|' || o_orderpriority) AS h FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey AS k, sha256(CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority) AS h FROM orders WHERE o_orderkey % 11 <> 0)"

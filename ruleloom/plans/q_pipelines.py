@@ -15,19 +15,32 @@ from ruleloom.plans.registry import query
 from ruleloom.plans.views import R6, Views, r6
 from ruleloom.sources import logs
 
-# The bundled fixture's articles (topic, format) and users' topics.
-FIXTURE_ARTICLES = [("sports", "brief"), ("sports", "essay"), ("science", "brief"), ("science", "essay"), ("arts", "brief"), ("arts", "essay"), ("world", "brief"), ("world", "essay")]
-FIXTURE_USERS = [["sports", "science"], ["arts", "world"], ["science"], ["world", "sports"]]
-
-
-@query("src_fixture", "SELECT 4 * 4 * 8 AS exposures, 4 AS users, 8 AS articles")
+# The bundled fixture's articles (id, title, topic, format) and users' topics.
+FIXTURE_ARTICLES = [
+    ("n1", "A practical guide to neural networks", "ai", "guide"),
+    ("n2", "AI policy and public trust", "ai", "news"),
+    ("n3", "How scientists study galaxies", "science", "explainer"),
+    ("n4", "New evidence about ocean warming", "climate", "news"),
+    ("n5", "A short history of climate policy", "climate", "essay"),
+    ("n6", "The history of computing", "history", "essay"),
+    ("n7", "A beginner map of quantum physics", "science", "guide"),
+    ("n8", "What ancient cities teach us", "history", "explainer"),
+]
+FIXTURE_USERS = {"u1": ["ai", "science"], "u2": ["climate"], "u3": ["history", "ai"], "u4": ["science", "climate"]}
+
+_FIXTURE = f"""WITH a(article, title, topic, format) AS (VALUES {", ".join(map(repr, FIXTURE_ARTICLES))}),
+u(usr, topic) AS (VALUES {", ".join(repr((u, t)) for u, topics in FIXTURE_USERS.items() for t in topics)}),
+e AS (SELECT w.usr, a.article, k, a.format <> 'essay' AS plain, u.topic IS NOT NULL AS liked FROM a CROSS JOIN (SELECT DISTINCT usr FROM u) w CROSS JOIN range(4) r(k) LEFT JOIN u ON u.usr = w.usr AND u.topic = a.topic)"""
+
+
+@query("src_fixture", f"{_FIXTURE} SELECT usr, article, CASE WHEN liked AND (plain OR k % 2 = 0) THEN 'click' ELSE 'skip' END AS action, 'fixture_' || k || '_' || usr AS impression FROM e")
 def fixture(v: Views) -> DataFrame:
     """Four repeats of four users over eight articles; a click needs a topic of the user, and essays an even repeat."""
-    a = v.spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(FIXTURE_ARTICLES)], "article int, topic string, format string")
-    u = v.spark.createDataFrame(list(enumerate(FIXTURE_USERS)), "usr int, topics array<string>")
+    a = v.spark.createDataFrame(FIXTURE_ARTICLES, "article string, title string, topic string, format string")
+    u = v.spark.createDataFrame(list(FIXTURE_USERS.items()), "usr string, topics array<string>")
     rows = u.join(F.broadcast(a)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    rows = rows.withColumn("click", F.array_contains("topics", F.col("topic")) & ((F.col("format") != "essay") | (F.col("repeat") % 2 == 0)))
-    return rows.agg(F.count("click").cast("int").alias("exposures"), F.count_distinct("usr").cast("int").alias("users"), F.count_distinct("article").cast("int").alias("articles"))
+    click = F.array_contains("topics", F.col("topic")) & ((F.col("format") != "essay") | (F.col("repeat") % 2 == 0))
+    return rows.select("usr", "article", F.when(click, "click").otherwise("skip").alias("action"), F.concat_ws("_", F.lit("fixture"), "repeat", "usr").alias("impression"))
 
 
 @query("src_corpus", "SELECT count(*) AS rows, sum(('0x' || substr(sha256(p_partkey || ':' || length(p_name) || ':' || p_name), 1, 8))::BIGINT)::BIGINT AS content FROM part")
@@ -91,14 +104,23 @@ def parse_dedupe(v: Views) -> DataFrame:
     return out.withColumn("n", F.when(F.col("n") == F.col("most"), F.col("n")).otherwise(F.raise_error(F.lit("conflicting rules")).cast("bigint"))).select("premises", "n")
 
 
-@query("mine_workspace_sync", "SELECT CASE WHEN n_old = 0 THEN 'created' WHEN changed = 0 AND n_new = n_old THEN 'reused' WHEN changed = 0 THEN 'appended' ELSE 'rebuilt' END AS state, n_new FROM (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS n_old, count(*) AS n_new, 0 AS changed FROM orders)")
+_SPACE = """WITH n AS (SELECT o_orderpriority AS space, o_orderkey AS k, sha256(o_orderkey || '|' || o_custkey) AS new FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderkey % 2 = 0),
+o AS (SELECT o_orderpriority AS space, o_orderkey AS k, sha256(o_orderkey || '|' || CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 5 = 0 THEN 0 ELSE o_custkey END) AS old FROM orders
+  WHERE o_orderpriority <> '1-URGENT' AND (o_orderpriority <> '3-MEDIUM' OR o_orderkey % 2 = 0)),
+d AS (SELECT coalesce(n.space, o.space) AS space, count(old) AS n_old, count(new) AS n_new, count(*) FILTER (new <> old) AS changed, count(*) FILTER (new IS NULL) AS removed FROM n FULL JOIN o ON n.space = o.space AND n.k = o.k GROUP BY 1)"""
+
+
+@query("mine_workspace_sync", f"{_SPACE} SELECT *, CASE WHEN n_old = 0 THEN 'created' WHEN changed + removed > 0 THEN 'rebuilt' WHEN n_new = n_old THEN 'reused' ELSE 'appended' END AS state FROM d")
 def workspace_sync(v: Views) -> DataFrame:
-    """A snapshot against the one before it, by content digests: created, reused, appended or rebuilt."""
-    o = v.table("orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey"), 256).alias("new"))
-    old = o.where("o_orderkey % 2 = 0").withColumnRenamed("new", "old")
-    d = o.join(old, "o_orderkey", "full").agg(F.count("old").alias("n_old"), F.count("new").alias("n_new"), F.count_if(F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).alias("changed"))
-    state = F.when(F.col("n_old") == 0, "created").when((F.col("changed") == 0) & (F.col("n_new") == F.col("n_old")), "reused").when(F.col("changed") == 0, "appended").otherwise("rebuilt")
-    return d.select(state.alias("state"), "n_new")
+    """Workspaces (order priorities) against the snapshot before, by content digests: created, reused, appended or rebuilt."""
+    o = v.table("orders").select(F.col("o_orderpriority").alias("space"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    digest = lambda c: F.sha2(F.concat_ws("|", "k", c), 256)
+    new = o.where("space <> '5-LOW' OR k % 2 = 0").select("space", "k", digest("c").alias("new"))
+    edited = F.when((F.col("space") == "4-NOT SPECIFIED") & (F.col("k") % 5 == 0), 0).otherwise(F.col("c"))
+    old = o.where("space <> '1-URGENT' AND (space <> '3-MEDIUM' OR k % 2 = 0)").select("space", "k", digest(edited).alias("old"))
+    d = new.join(old, ["space", "k"], "full").groupBy("space").agg(F.count("old").alias("n_old"), F.count("new").alias("n_new"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.count_if(F.col("new").isNull()).alias("removed"))
+    state = F.when(F.col("n_old") == 0, "created").when(F.col("changed") + F.col("removed") > 0, "rebuilt").when(F.col("n_new") == F.col("n_old"), "reused").otherwise("appended")
+    return d.withColumn("state", state)
 
 
 @query("jn_dependency_cluster")
@@ -130,20 +152,22 @@ def top_rules_pair(v: Views) -> DataFrame:
     return rules.withColumn("place", place).where("place <= 3").select("family", "value", "place")
 
 
-@query("prf_topology_check", f"{POINTS} SELECT count(*) AS rules, count(DISTINCT premises) AS channels, 0::BIGINT AS repeated_predicates, count(*) FILTER (size NOT BETWEEN 1 AND 2) AS bad_sizes FROM sel")
+@query("prf_topology_check", f"{POINTS} SELECT count(*) AS rules, count(DISTINCT premises) AS channels, count(*) FILTER (predicates < atoms) AS repeated_predicates, count(*) FILTER (size <> atoms OR size NOT BETWEEN 1 AND 2) AS bad_sizes FROM (SELECT premises, size, count(*) AS atoms, count(DISTINCT split_part(atom, '=', 1)) AS predicates FROM prem GROUP BY 1, 2)")
 def topology_check(v: Views) -> DataFrame:
     """Counts that must hold for a rule set to be served: unique channels, each predicate once in a rule."""
     r = ranking.serving_rules(v).withColumn("p", F.transform(F.split("premises", " & "), lambda a: F.split(a, "=")[0]))
-    return r.agg(F.count("*").alias("rules"), F.count_distinct("premises").alias("channels"), F.count_if(F.size(F.array_distinct("p")) < F.size("p")).alias("repeated_predicates"), F.count_if(~F.col("size").between(1, 2)).alias("bad_sizes"))
+    return r.agg(F.count("*").alias("rules"), F.count_distinct("premises").alias("channels"), F.count_if(F.size(F.array_distinct("p")) < F.size("p")).alias("repeated_predicates"), F.count_if((F.size("p") != F.col("size")) | ~F.col("size").between(1, 2)).alias("bad_sizes"))
+
+
+_PUBLISHED = f"{POINTS}, old AS (SELECT predicate || '=' || value AS premises, sum(y) AS ny FROM facts WHERE year(ts) < 1997 GROUP BY 1 UNION ALL SELECT a.predicate || '=' || a.value || ' & ' || b.predicate || '=' || b.value, sum(a.y) FROM facts a JOIN facts b ON a.impression = b.impression AND a.article = b.article AND a.predicate < b.predicate WHERE year(a.ts) < 1997 GROUP BY 1)"
 
 
-@query("prf_provenance", f"{POINTS} SELECT count(*) AS proofs, 0::BIGINT AS dangling, count(*) FILTER (a.size < 1) AS without_premises FROM act a")
+@query("prf_provenance", f"{_PUBLISHED} SELECT count(*) AS proofs, count(*) FILTER (o.premises IS NULL) AS dangling, count(*) FILTER (a.size < 1) AS without_premises FROM act a LEFT JOIN (SELECT premises FROM old WHERE ny >= 400) o USING (premises)")
 def provenance(v: Views) -> DataFrame:
-    """Every proof refers to a served rule; dangling references are counted by an anti join."""
-    rules = ranking.serving_rules(v)
-    proofs = ranking.activate(mining.cases(v), rules).select("impression", "article", F.explode("active").alias("r")).select("impression", "article", "r.premises", "r.size")
-    served = rules.select("premises", F.lit(1).alias("served"))
-    return proofs.join(F.broadcast(served), "premises", "left").agg(F.count("*").alias("proofs"), F.count_if(F.col("served").isNull()).alias("dangling"), F.count_if(F.col("size") < 1).alias("without_premises"))
+    """Proofs by the rules of all cases, against the rules that were published before 1997; a proof whose rule is not there dangles."""
+    proofs = ranking.activate(mining.cases(v), ranking.serving_rules(v)).select("impression", "article", F.explode("active").alias("r")).select("impression", "article", "r.premises", "r.size")
+    published = mining.counts(mining.cases(v).where("year(ts) < 1997"), 2).where("ny >= 400").select("premises", F.lit(1).alias("served"))
+    return proofs.join(published, "premises", "left").agg(F.count("*").alias("proofs"), F.count_if(F.col("served").isNull()).alias("dangling"), F.count_if(F.col("size") < 1).alias("without_premises"))
 
 
 @query("mine_point_pipeline", f"{POINTS} SELECT premises, size, {R6('strength')} AS strength, {R6('confidence')} AS confidence FROM sel")

@@ -31,14 +31,20 @@ def rule_activation(v: Views) -> DataFrame:
     return rows.select("impression", "article", F.size("active").alias("fired"), F.array_join(F.array_sort(F.transform("active", lambda r: r["premises"])), "; ").alias("rules"))
 
 
-@query("jn_rule_population", f"{POINTS} SELECT s.premises, count(a.premises) AS matched, min(t.tn) - count(a.premises) AS unmatched, 0::BIGINT AS inapplicable FROM sel s LEFT JOIN act a USING (premises), tot t GROUP BY 1")
+_NO_HISTORY = "history = 'cold' AND (p.premises LIKE '%affinity=%' OR p.premises LIKE '%recent_count=%')"
+
+
+@query("jn_rule_population", f"{POINTS}, po AS (SELECT p.premises, count(*) FILTER ({_NO_HISTORY}) AS inapplicable, count(*) FILTER (NOT ({_NO_HISTORY}) AND a.premises IS NOT NULL) AS matched, count(*) AS n FROM sel p CROSS JOIN cases c LEFT JOIN act a ON a.premises = p.premises AND a.impression = c.impression AND a.article = c.article GROUP BY 1) SELECT premises, matched, n - matched - inapplicable AS unmatched, inapplicable FROM po")
 def rule_population(v: Views) -> DataFrame:
-    """Matched and unmatched cases of each rule; a case that lacks a premise's predicate is inapplicable."""
-    rows = ranking.activate(mining.cases(v), ranking.serving_rules(v))
-    matched = rows.select(F.explode("active.premises").alias("premises")).groupBy("premises").agg(F.count("*").alias("matched"))
-    n = rows.agg(F.count("*").alias("n"))
-    out = ranking.serving_rules(v).select("premises").join(matched, "premises", "left").join(F.broadcast(n)).fillna(0, ["matched"])
-    return out.select("premises", "matched", (F.col("n") - F.col("matched")).alias("unmatched"), F.lit(0).cast("bigint").alias("inapplicable"))
+    """Matched, unmatched and inapplicable cases of each rule: what a rule says of the history has no truth for a user without one."""
+    rules = ranking.serving_rules(v)
+    rows = ranking.activate(mining.cases(v), rules).withColumn("cold", F.col("history") == "cold")
+    matched = rows.select("cold", F.explode("active.premises").alias("premises")).groupBy("premises").agg(F.count("*").alias("all"), F.count_if(~F.col("cold")).alias("known"))
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("cold")).alias("cold"))
+    out = rules.select("premises").join(matched, "premises", "left").join(F.broadcast(n)).fillna(0, ["all", "known"])
+    of_history = F.col("premises").rlike("affinity=|recent_count=")
+    out = out.select("premises", F.when(of_history, F.col("known")).otherwise(F.col("all")).alias("matched"), F.when(of_history, F.col("cold")).otherwise(F.lit(0).cast("bigint")).alias("inapplicable"), "n")
+    return out.select("premises", "matched", (F.col("n") - F.col("matched") - F.col("inapplicable")).alias("unmatched"), "inapplicable")
 
 
 @query("rank_point", f"{POINTS} SELECT impression, article, fired, {R6('score')} AS score FROM pt")
@@ -74,28 +80,52 @@ def tiebreak(v: Views) -> DataFrame:
     return p.join(prior, "topic").select("impression", "article", place.alias("place"))
 
 
-_SKIPS = """WITH s AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'click'),
-m AS (SELECT user_id, max(CASE WHEN r <= 20 AND event_type = 'error' THEN 1 ELSE 0 END) AS exact, max(CASE WHEN r <= 5 AND event_type = 'view' THEN 1 ELSE 0 END) AS sub, max(CASE WHEN r <= 5 AND event_type = 'signup' THEN 1 ELSE 0 END) AS topic FROM s GROUP BY 1)"""
-_LEVEL = "CASE WHEN exact = 1 THEN 'exact' WHEN sub = 1 THEN 'subcategory' WHEN topic = 1 THEN 'topic' ELSE 'none' END"
-_NEG = "CASE WHEN exact = 1 THEN 0.95 WHEN sub = 1 THEN 0.80 WHEN topic = 1 THEN 0.65 ELSE 0.0 END"
+# Skips of a user's earlier impressions: the latest 20 for the same article, the latest 5 for its subcategory or topic.
+_SKIPS = POINTS + """,
+sk AS (SELECT i.o_orderkey AS impression, c.article, row_number() OVER (PARTITION BY i.o_orderkey ORDER BY c.ts DESC, c.impression DESC, c.position DESC) AS r
+  FROM orders i JOIN exposures c ON c.usr = i.o_custkey AND c.click = 0 AND (c.ts < i.o_orderdate OR (c.ts = i.o_orderdate AND c.impression < i.o_orderkey))),
+mt AS (SELECT e.impression, e.article, coalesce(bool_or(s.article = e.article), false) AS exact, coalesce(bool_or(s.r <= 5 AND b.subcategory = a.subcategory), false) AS sub, coalesce(bool_or(s.r <= 5 AND b.topic = a.topic), false) AS kin
+  FROM exposures e JOIN articles a USING (article) LEFT JOIN sk s ON s.impression = e.impression AND s.r <= 20 LEFT JOIN articles b ON b.article = s.article GROUP BY 1, 2)"""
+_LEVEL = "CASE WHEN exact THEN 'exact' WHEN sub THEN 'subcategory' WHEN kin THEN 'topic' ELSE 'none' END"
+_NEG = "CASE WHEN exact THEN 0.95E0 WHEN sub THEN 0.80E0 WHEN kin THEN 0.65E0 ELSE 0.0E0 END"
 
 
-def _skips(v: Views) -> DataFrame:
-    """Matches of a user's latest 20 skips (exact) and latest 5 (broader): the event type stands for the skipped item."""
-    s = v.table("events").where("event_type <> 'click'").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())))
-    hit = lambda k, t: F.max(((F.col("r") <= k) & (F.col("event_type") == t)).cast("int"))
-    return s.groupBy("user_id").agg(hit(20, "error").alias("exact"), hit(5, "view").alias("sub"), hit(5, "signup").alias("topic"))
+def skip_matches(v: Views) -> DataFrame:
+    """impression, article and whether the user's latest skips hold the article, its subcategory or its topic."""
+    past = v.past(0, 20).select("impression", "past")
+    late = F.when(F.size("past") > 5, F.slice("past", -5, 5)).otherwise(F.col("past"))
+    item = v.articles().select("article", "subcategory", F.col("topic").alias("of"))
+    kinds = past.select("impression", F.explode(late).alias("article")).join(item, "article").groupBy("impression").agg(F.collect_set("subcategory").alias("subs"), F.collect_set("of").alias("topics"))
+    rows = v.candidates().select("impression", "article").join(item, "article").join(past, "impression", "left").join(kinds, "impression", "left")
+    held = lambda c, x: F.coalesce(F.array_contains(c, F.col(x)), F.lit(False))
+    return rows.select("impression", "article", held("past", "article").alias("exact"), held("subs", "subcategory").alias("sub"), held("topics", "of").alias("kin"))
 
 
-@query("prf_live_negative", f"{_SKIPS} SELECT user_id, {_LEVEL} AS level, ({_NEG})::DOUBLE AS confidence FROM m")
+@query("prf_live_negative", f"{_SKIPS} SELECT impression, article, {_LEVEL} AS level, {_NEG} AS confidence FROM mt")
 def live_negative(v: Views) -> DataFrame:
-    return _skips(v).select("user_id", F.expr(_LEVEL).alias("level"), F.expr(_NEG).cast("double").alias("confidence"))
+    """The proof that a user's skips give against each candidate: none, or by topic, subcategory or the very article."""
+    return skip_matches(v).select("impression", "article", F.expr(_LEVEL).alias("level"), F.expr(_NEG).cast("double").alias("confidence"))
+
+
+def feedback_points(v: Views) -> DataFrame:
+    """Point scores, lowered by the confidence of the skips' proof (of strength 0)."""
+    m = skip_matches(v).select("impression", "article", F.expr(_NEG).cast("double").alias("against"))
+    return ranking.points(v).join(m, ["impression", "article"]).withColumn("score", F.col("score") + F.col("against") * (0.0 - F.col("score")))
 
 
-@query("rank_point_feedback", f"{_SKIPS} SELECT user_id, {R6(f'0.3 + ({_NEG}) * (0.0 - 0.3)')} AS score FROM m")
+_LOWERED = f"{_SKIPS}, fb AS (SELECT pt.impression, pt.article, score + ({_NEG}) * (0.0E0 - score) AS score FROM pt JOIN mt ON mt.impression = pt.impression AND mt.article = pt.article)"
+
+
+@query("rank_point_feedback", f"{_LOWERED} SELECT impression, article, {R6('score')} AS score FROM fb")
 def point_feedback(v: Views) -> DataFrame:
-    """A feedback proof (strength 0) overrides the point score of 0.3 by its confidence."""
-    return _skips(v).select("user_id", r6(F.lit(0.3) + F.expr(_NEG).cast("double") * (F.lit(0.0) - 0.3)).alias("score"))
+    return feedback_points(v).select("impression", "article", r6(F.col("score")).alias("score"))
+
+
+@query("st_feedback_rerank", f"{_LOWERED} SELECT impression, article, row_number() OVER (PARTITION BY impression ORDER BY floor(score * 1e6 + 0.5) DESC, article) AS place FROM fb")
+def feedback_rerank(v: Views) -> DataFrame:
+    """Slates ranked anew by the scores that the skips have lowered."""
+    place = F.row_number().over(Window.partitionBy("impression").orderBy(grid(F.col("score")).desc(), "article"))
+    return feedback_points(v).select("impression", "article", place.alias("place"))
 
 
 # --- pairs -------------------------------------------------------------------------------------

@@ -145,7 +145,7 @@ def intersect(v: Views) -> DataFrame:
 @query("set_except", f"{_AB} SELECT k, o FROM a EXCEPT SELECT k, o FROM b")
 def except_(v: Views) -> DataFrame:
     a, b = _sides(v)
-    return a.exceptAll(b)
+    return a.subtract(b)
 
 
 _ARR = "SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderpriority))) AS a, list_sort(list_distinct(list(o_orderstatus || o_orderpriority))) AS b FROM orders GROUP BY 1"
@@ -165,10 +165,16 @@ def symmetric_check(v: Views) -> DataFrame:
     return one(a, b, "only_a").join(F.broadcast(one(b, a, "only_b")))
 
 
-@query("jn_companion_rows", "SELECT count(*) AS rows, count(*) FILTER (a.h <> b.h) AS mismatches FROM (SELECT o_orderkey, sha256(o_orderkey || '|' || o_custkey) AS h FROM orders) a FULL OUTER JOIN (SELECT o_orderkey, sha256(o_orderkey || '|' || o_custkey) AS h FROM orders) b USING (o_orderkey)")
+_COMPANION = "SELECT o_orderkey, sha256(o_orderkey || '|' || CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey END) AS h FROM orders WHERE o_orderkey % 17 <> 0"
+
+
+@query("jn_companion_rows", f"SELECT count(*) AS rows, count(*) FILTER (a.h <> b.h) AS mismatches, count(*) FILTER (b.h IS NULL) AS missing FROM (SELECT o_orderkey, sha256(o_orderkey || '|' || o_custkey) AS h FROM orders) a FULL OUTER JOIN ({_COMPANION}) b USING (o_orderkey)")
 def companion_rows(v: Views) -> DataFrame:
-    o = v.table("orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey"), 256).alias("a"))
-    return o.join(o.withColumnRenamed("a", "b"), "o_orderkey", "full").agg(F.count("*").alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("mismatches"))
+    """A table against a companion that lacks some of its rows and disagrees in others."""
+    digest = lambda c, n: F.sha2(F.concat_ws("|", "o_orderkey", c), 256).alias(n)
+    a = v.table("orders").select("o_orderkey", digest("o_custkey", "a"))
+    b = v.table("orders").where("o_orderkey % 17 <> 0").select("o_orderkey", digest(F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.col("o_custkey")), "b"))
+    return a.join(b, "o_orderkey", "full").agg(F.count("*").alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("mismatches"), F.count_if(F.col("b").isNull()).alias("missing"))
 
 
 # --- sources and sinks: written as the logs' formats, then read back --------------------------------
@@ -224,13 +230,6 @@ def pending_counter(v: Views) -> DataFrame:
     return n.select("user_id", "events", F.floor(F.col("events") / 8).alias("minings"), (F.col("events") % 8).alias("pending"))
 
 
-@query("st_feedback_rerank", f"{BASE} SELECT impression, article, row_number() OVER (PARTITION BY impression ORDER BY position + CASE WHEN article % 7 = 0 THEN 100 ELSE 0 END) AS place FROM exposures")
-def feedback_rerank(v: Views) -> DataFrame:
-    """Only the candidates that a skip touches get a new score; they move behind the others."""
-    moved = F.col("position") + F.when(F.col("article") % 7 == 0, 100).otherwise(0)
-    return v.exposures().select("impression", "article", F.row_number().over(Window.partitionBy("impression").orderBy(moved)).alias("place"))
-
-
 @query("win_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling(v: Views) -> DataFrame:
     """An addition: event-time windows, which Structured Streaming offers for free."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import buckets, text
@@ -73,22 +73,16 @@ def safe_symbol(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", text.safe_symbol(F.col("p_name")).alias("symbol"))
 
 
-@query("prj_title_tokens", f"SELECT doc_id, len(t) AS n_tokens, coalesce(array_to_string(list_sort(t), ' '), '') AS tokens FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\w'']+'), lambda x: length(x) > 2 AND NOT list_contains({list(text.TITLE_STOP)!r}, x))) AS t FROM documents WHERE lang = 'en')")
+@query("prj_title_tokens", f"SELECT doc_id, len(t) AS n_tokens, coalesce(array_to_string(list_sort(t), ' '), '') AS tokens FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all({text.fold_sql("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}_'']+'), lambda x: length(x) > 2 AND NOT list_contains({list(text.TITLE_STOP)!r}, x))) AS t FROM documents)")
 def title_tokens(v: Views) -> DataFrame:
-    rows = v.table("documents").where("lang = 'en'").select("doc_id", F.array_sort(text.title_tokens(F.col("text"))).alias("t"))
-    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
-
-
-@query("prj_title_tokens_unicode")
-def title_tokens_unicode(v: Views) -> DataFrame:
-    """The same for the texts of all languages, with Unicode words; DuckDB has no NFKC or case folding, so no SQL."""
+    """Distinct tokens of the texts of all languages, by Unicode words."""
     rows = v.table("documents").select("doc_id", F.array_sort(text.unicode_tokens(F.col("text"), title=True)).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
-@query("prj_lexical_tokens", f"SELECT conv_id, turn, len(t) AS n_tokens, coalesce(array_to_string(t, ' '), '') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(substr(text, 1, 20000)), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda x: length(x) > 2 AND NOT list_contains({list(text.LEXICAL_STOP)!r}, x))[1:512] AS t FROM conversations)")
+@query("prj_lexical_tokens", f"SELECT conv_id, turn, len(t) AS n_tokens, coalesce(array_to_string(t, ' '), '') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all({text.fold_sql("coalesce(substr(text, 1, 20000), '')")}, '{text.WORD}(?:''{text.WORD})?'), lambda x: length(x) > 2 AND NOT list_contains({list(text.LEXICAL_STOP)!r}, x))[1:512] AS t FROM conversations)")
 def lexical_tokens(v: Views) -> DataFrame:
-    rows = v.table("conversations").select("conv_id", "turn", text.lexical_tokens(F.col("text"), ascii_only=True).alias("t"))
+    rows = v.table("conversations").select("conv_id", "turn", text.unicode_tokens(F.col("text")).alias("t"))
     return rows.select("conv_id", "turn", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -138,9 +132,22 @@ def sides(v: Views) -> DataFrame:
     return f.select("impression", "article", "position", "topic", "subcategory", "recency", "click", buckets.column("share", _SHARE).alias("aff"), buckets.column("history_size", "known").alias("scope"))
 
 
+#: Pairs that one slate may have.
+PAIR_BUDGET = 32_768
+
+
+def guarded(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, which fail as they are read if a slate has more pairs than the budget; the count shares the join's exchange."""
+    n = F.count("*").over(Window.partitionBy(key))
+    rows = rows.withColumn("_n", n)
+    many = F.raise_error(F.concat(F.lit("a slate has more pairs than the budget of "), F.lit(str(PAIR_BUDGET)), F.lit(": "), F.col(key).cast("string")))
+    fits = F.when(F.col("_n") * (F.col("_n") - 1) / 2 <= PAIR_BUDGET, F.lit(True)).otherwise(many.cast("boolean"))
+    return rows.where(fits).drop("_n")
+
+
 def slate_pairs(rows: DataFrame) -> DataFrame:
     """Unordered pairs of each slate, left before right; a slate's size is checked before the join."""
-    a = rows.select(*(F.col(c).alias(f"l_{c}") for c in rows.columns))
+    a = guarded(rows.select(*(F.col(c).alias(f"l_{c}") for c in rows.columns)), "l_impression")
     b = rows.select(*(F.col(c).alias(f"r_{c}") for c in rows.columns))
     return a.join(b, (F.col("l_impression") == F.col("r_impression")) & (F.col("l_position") < F.col("r_position")))
 

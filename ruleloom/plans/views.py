@@ -44,17 +44,25 @@ class Views:
         position = F.row_number().over(Window.partitionBy("impression").orderBy("fl", "article")) - 1
         return self.candidates().join(self.impressions(), "impression").select("impression", "article", "click", "usr", "ts", position.alias("position"))
 
-    def histories(self) -> DataFrame:
-        """impression, usr, ts and history: clicked articles of the user's earlier impressions, oldest first.
+    def past(self, click: int, limit: int) -> DataFrame:
+        """impression, usr, ts and past: the last ``limit`` candidates with this label in the user's earlier impressions, oldest first.
 
-        Clicks are folded into one array per impression first, so a user's window holds short rows.
+        Candidates are folded into one array per impression first.  A row looks back at no more than ``limit``
+        impressions that have such candidates, so what it gathers does not grow with the user's log.
         """
         place = F.struct("position", "article")
-        clicked = self.exposures().where("click = 1").groupBy("impression").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["article"]).alias("clicked"))
-        earlier = Window.partitionBy("usr").orderBy("ts", "impression").rowsBetween(Window.unboundedPreceding, -1)
-        rows = self.impressions().join(clicked, "impression", "left")
-        rows = rows.withColumn("history", F.flatten(F.collect_list("clicked").over(earlier)))
-        return rows.select("impression", "usr", "ts", F.when(F.size("history") > HISTORY_LIMIT, F.slice("history", -HISTORY_LIMIT, HISTORY_LIMIT)).otherwise(F.col("history")).alias("history"))
+        found = self.exposures().where(F.col("click") == click).groupBy("impression").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["article"]).alias("found"))
+        user = Window.partitionBy("usr")
+        rows = self.impressions().join(found, "impression", "left")
+        rows = rows.withColumn("filled", F.count("found").over(user.orderBy("ts", "impression").rowsBetween(Window.unboundedPreceding, -1)))
+        # the place of an impression among the filled ones orders the arrays; those of the row itself have its own number
+        each = F.transform(F.array_sort(F.collect_list(F.when(F.col("found").isNotNull(), F.struct("filled", "found"))).over(user.orderBy("filled").rangeBetween(-limit, -1))), lambda x: x["found"])
+        rows = rows.withColumn("past", F.flatten(each))
+        return rows.select("impression", "usr", "ts", F.when(F.size("past") > limit, F.slice("past", -limit, limit)).otherwise(F.col("past")).alias("past"))
+
+    def histories(self) -> DataFrame:
+        """impression, usr, ts and history: clicked articles of the user's earlier impressions, oldest first."""
+        return self.past(1, HISTORY_LIMIT).withColumnRenamed("past", "history")
 
     def history_items(self) -> DataFrame:
         """impression, article, lag: one row per history item; lag 0 is the latest."""

@@ -10,4 +10,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from ruleloom.session import build
 
-    return build(cores=4, partitions=4)
+    return build(cores=8, partitions=4)

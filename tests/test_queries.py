@@ -4,6 +4,7 @@ import glob
 import os
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -34,13 +35,16 @@ def plain(df):
     return sorted(tuple(map(cell, r)) for r in df.astype(object).itertuples(index=False))
 
 
-#: Every third query in a plain run; all of them with RULELOOM_ALL_QUERIES=1.
-NAMES = sorted(catalog.QUERIES)[:: 1 if os.environ.get("RULELOOM_ALL_QUERIES") else 3]
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries, a few at a time."""
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(lambda q: q(spark, TABLES).toPandas(), q) for name, q in sorted(catalog.QUERIES.items())}
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_its_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, TABLES).toPandas()
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query_equals_its_sql(results, duck, name):
+    got = results[name].result()
     if name not in catalog.ORACLES:
         assert len(got) > 0
         return
@@ -88,10 +92,10 @@ def test_unicode_tokens_of_all_documents_match_brute_force(spark, duck):
     texts = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
     fold = lambda x: unicodedata.normalize("NFKC", x).casefold()
     title = [(i, sorted({w for w in re.findall(r"[\w']+", fold(x)) if len(w) > 2 and w not in text.TITLE_STOP})) for i, x in texts]
-    got = catalog.QUERIES["prj_title_tokens_unicode"](spark, TABLES).collect()
+    got = catalog.QUERIES["prj_title_tokens"](spark, TABLES).collect()
     assert sorted((r.doc_id, r.n_tokens, r.tokens) for r in got) == sorted((i, len(t), " ".join(t)) for i, t in title)
     lexical = {tuple(sorted([w for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", fold(x[:20_000])) if len(w) > 2 and w not in text.LEXICAL_STOP][:512])) for _, x in texts} - {()}
     df = Counter(w for t in lexical for w in set(t))
-    found = {r.token: (r.df, r.idf) for r in catalog.QUERIES["agg_lexical_idf_unicode"](spark, TABLES).collect()}
+    found = {r.token: (r.df, r.idf) for r in catalog.QUERIES["agg_lexical_idf"](spark, TABLES).collect()}
     assert {w: d for w, (d, _) in found.items()} == dict(df)
     assert all(abs(x - math.log(1 + (len(lexical) - d + 0.5) / (d + 0.5))) < 2e-6 for d, x in found.values())
