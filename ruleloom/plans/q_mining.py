@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text, truth
+from ruleloom.operators import conditional as conditional_mining
 from ruleloom.operators import incremental, mining
 from ruleloom.operators.mining import MIN_SUPPORT, PREDICATES
 from ruleloom.plans import q_scalars
 from ruleloom.plans.registry import query
 from ruleloom.plans.views import FEATURES, R6, Views, r6
-from ruleloom.session import shared_folder
+from ruleloom.session import shared_folder, stored
 
 CASES = FEATURES + """,
 cases AS (SELECT impression, article, ts, click AS y, """ + ", ".join(f"{x} AS {p}" for p, x in PREDICATES.items()) + """ FROM feat),
@@ -323,9 +324,31 @@ def conditional_stats(v: Views) -> DataFrame:
 _ELIGIBLE = "p - base > 1e-12 AND p - greatest(base, parent) > 1e-12"
 
 
-@query("mine_conditional", f"{_COND} SELECT premises, tp, {R6('coverage * (p - greatest(base, parent))')} AS incremental FROM s WHERE {_ELIGIBLE}")
+_CROSS = _FOLD + f""",
+ff AS (SELECT f.*, fo.fold FROM facts f JOIN fo USING (impression)),
+k1 AS (SELECT predicate || '=' || value AS premises, 1 AS size, fold, count(*) AS n, sum(y) AS ny FROM ff GROUP BY 1, 3),
+k2 AS (SELECT a.predicate || '=' || a.value || ' & ' || b.predicate || '=' || b.value AS premises, 2 AS size, a.fold, count(*) AS n, sum(a.y) AS ny
+  FROM ff a JOIN ff b ON a.impression = b.impression AND a.article = b.article AND a.predicate < b.predicate GROUP BY 1, 3),
+k3 AS (SELECT a.predicate || '=' || a.value || ' & ' || b.predicate || '=' || b.value || ' & ' || c.predicate || '=' || c.value AS premises, 3 AS size, a.fold, count(*) AS n, sum(a.y) AS ny
+  FROM ff a JOIN ff b ON a.impression = b.impression AND a.article = b.article AND a.predicate < b.predicate JOIN ff c ON a.impression = c.impression AND a.article = c.article AND b.predicate < c.predicate GROUP BY 1, 3),
+ka AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3),
+kk AS (SELECT * FROM ka UNION ALL SELECT premises, size, -1, sum(n), sum(ny) FROM ka GROUP BY 1, 2),
+ks AS (SELECT *, string_split(premises, ' & ') AS atoms FROM kk),
+tt AS (SELECT fold, sum(n) AS fn, sum(ny) AS fny FROM (SELECT fold, count(*) AS n, sum(y) AS ny FROM cases JOIN fo USING (impression) GROUP BY 1 UNION ALL SELECT -1, count(*), sum(y) FROM cases) GROUP BY 1),
+wanted AS (SELECT DISTINCT w.premises FROM (SELECT premises, unnest(atoms) AS atom FROM ks WHERE fold = -1 AND size > 1 AND ny >= {MIN_SUPPORT} AND premises LIKE '%topic=%') w JOIN (SELECT premises AS atom FROM ks WHERE fold = -1 AND size = 1 AND ny >= {MIN_SUPPORT}) USING (atom)),
+pat AS (SELECT ks.* FROM ks JOIN wanted USING (premises)),
+par AS (SELECT p.premises, p.fold, max(q.ny * 1.0E0 / q.n) AS parent FROM (SELECT premises, fold, array_to_string(list_filter(atoms, lambda x: x <> gone), ' & ') AS of FROM (SELECT premises, fold, atoms, unnest(atoms) AS gone FROM pat)) p JOIN ks q ON q.premises = p.of AND q.fold = p.fold GROUP BY 1, 2),
+st AS (SELECT pat.premises, pat.size, pat.fold, pat.n, pat.ny, fn, pat.ny * 1.0E0 / pat.n AS p, fny * 1.0E0 / fn AS base, parent, pat.ny * 1.0E0 / pat.n - greatest(fny * 1.0E0 / fn, parent) AS inc FROM pat JOIN par ON par.premises = pat.premises AND par.fold = pat.fold JOIN tt ON tt.fold = pat.fold),
+pw AS (SELECT premises, size, max(ny) FILTER (fold = -1) AS tp, max(n - ny) FILTER (fold = -1) AS fp, max(p) FILTER (fold = -1) AS p, max(base) FILTER (fold = -1) AS base, max(parent) FILTER (fold = -1) AS parent, max(inc) FILTER (fold = -1) AS inc, max(n * 1.0E0 / fn * (p - base)) FILTER (fold = -1) AS wracc,
+  count(*) FILTER (fold >= 0 AND n >= 4) AS folds, min(inc) FILTER (fold >= 0 AND n >= 4) AS stable FROM st GROUP BY 1, 2)"""
+
+
+@query("mine_conditional", f"{_CROSS} SELECT premises, size, tp::BIGINT AS tp, fp::BIGINT AS fp, {R6('p')} AS precision, {R6('parent')} AS parent, {R6('inc')} AS increment, {R6('wracc')} AS wracc, folds, {R6('stable')} AS stable, CASE WHEN p - base <= 1e-12 THEN 'no effect' WHEN inc <= 1e-12 THEN 'no gain' WHEN folds < 2 OR stable <= 1e-12 THEN 'unstable' ELSE 'taken' END AS verdict FROM pw")
 def mine_conditional(v: Views) -> DataFrame:
-    return conditional(v).where(_ELIGIBLE).select("premises", "tp", r6(F.col("coverage") * (F.col("p") - F.greatest("base", "parent"))).alias("incremental"))
+    """Patterns of two and three premises that hold a seed and cross roles, with the reason why each was refused or that it was taken."""
+    rows = mining.cases(v).join(mining.folds(v), "impression").withColumn("weight", F.lit(1))
+    p = conditional_mining.patterns(rows, 3)
+    return p.select("premises", "size", "tp", "fp", *(r6(F.col(c)).alias(c) for c in ("precision", "parent", "increment", "wracc")), "folds", r6(F.col("stable")).alias("stable"), F.coalesce("refused", F.lit("taken")).alias("verdict"))
 
 
 @query("top_patterns", f"{_COND} SELECT premises FROM s WHERE {_ELIGIBLE} ORDER BY floor(coverage * (p - greatest(base, parent)) * 1e6 + 0.5) DESC, tp DESC, premises LIMIT 10")
@@ -347,9 +370,7 @@ def hybrid_seed(v: Views) -> DataFrame:
 
 def _plan(v: Views) -> tuple[incremental.Plan, DataFrame]:
     """A new plan, and the cases written once, as every update reads them several times."""
-    at = f"{shared_folder(v.spark)}/plan-{uuid.uuid4().hex}"
-    mining.cases(v).write.parquet(f"{at}-cases")
-    return incremental.Plan(at), v.spark.read.parquet(f"{at}-cases")
+    return incremental.Plan(f"{shared_folder(v.spark)}/plan-{uuid.uuid4().hex}"), stored(mining.cases(v))
 
 
 @query("mine_incremental", f"{CASES}, k AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), b AS ({_branches('k')}) SELECT premises, n, ny, {R6('strength')} AS strength, {R6('negative_strength')} AS negative_strength, 'delta_updated' AS mode FROM b WHERE ny >= {MIN_SUPPORT}")

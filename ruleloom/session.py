@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -32,3 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: what is used several times is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

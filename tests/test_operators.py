@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ruleloom.operators import incremental, mining, running
+from ruleloom.operators import conditional, incremental, mining, running
 from ruleloom.operators.mining import PREDICATES
 from ruleloom.plans import q_pipelines, q_scalars
 from ruleloom.sources import logs
@@ -95,3 +95,24 @@ def test_row_digests_ignore_the_order_only(spark):
     one = logs.digest_rows(rows)
     assert one == logs.digest_rows(rows.repartition(7).select("s", "id")) and one[1] == 100
     assert one != logs.digest_rows(rows.where("id > 0")) and one != logs.digest_rows(rows.withColumn("s", F.coalesce("s", F.lit(""))))
+
+
+def test_a_pattern_beats_its_parents_in_every_fold(spark, monkeypatch):
+    """Three folds of four rows: the two premises together are a click, and each alone is one of two."""
+    monkeypatch.setattr(conditional, "FOLD_SUPPORT", 1)
+    rows = [(f, y, 2 if heavy and y else 1, topic, *[h] * 4) for heavy in (0,) for f in range(3) for topic, h, y in (("rel", "loyal", 1), ("rel", "new", 0), ("other", "loyal", 0), ("other", "new", 0))]
+    kinds = "fold int, y int, weight int, topic string, history string, long_affinity string, recent_affinity string, recent_count string"
+    df = spark.createDataFrame(rows, kinds)
+    got = {r.premises: r for r in conditional.patterns(df, 2, 3).collect()}
+    r = got["history=loyal & topic=rel"]
+    assert (r.tp, r.fp, r.base, r.precision, r.parent, r.increment, r.stable, r.folds, r.refused) == (3, 0, 0.25, 1.0, 0.5, 0.5, 0.5, 3, None)
+    assert all("topic=" in p and p.count("=") == 2 for p in got)
+    weighted = {r.premises: r for r in conditional.patterns(df.withColumn("weight", F.when(F.col("y") == 1, 2).otherwise(1)), 2, 3).collect()}
+    r = weighted["history=loyal & topic=rel"]
+    assert (r.tp, r.fp) == (6, 0) and abs(r.parent - 2 / 3) < 1e-12 and abs(r.increment - 1 / 3) < 1e-12 and abs(r.wracc - 0.4 * 0.6) < 1e-12
+    # a fold in which the pattern fails makes it unstable; without enough clicks there is no seed
+    broken = df.withColumn("y", F.when((F.col("fold") == 2) & (F.col("topic") == "rel"), 1 - F.col("y")).otherwise(F.col("y")))
+    assert {r.refused for r in conditional.patterns(broken, 2, 2).where("premises = 'history=loyal & topic=rel'").collect()} == {"unstable"}
+    assert conditional.patterns(df, 2, 4).count() == 0
+    with pytest.raises(ValueError):
+        conditional.patterns(df, 5)
