@@ -117,31 +117,34 @@ def paired_runs(v: Views) -> DataFrame:
 
 def _bootstrap(v: Views, unit: Column | None) -> DataFrame:
     d = _both(v).withColumn("d", F.col("a") - F.col("b"))
-    if unit is None:
-        return evaluation.bootstrap(d, F.col("impression"))
-    return evaluation.bootstrap(d.join(v.impressions(), "impression"), unit)
+    found = evaluation.bootstrap(d, F.col("impression")) if unit is None else evaluation.bootstrap(d.join(v.impressions(), "impression"), unit)
+    return found.select(*(r6(F.col(c)).alias(c) for c in ("mean", "low", "high")))
 
 
-@query("ev_bootstrap")
+_DIFF = f"{_TWO}, df AS (SELECT a.impression, o_custkey AS usr, a.auc - b.auc AS d FROM au a JOIN au2 b USING (impression) JOIN orders ON o_orderkey = impression), us AS (SELECT impression AS unit, sum(d) AS s, count(*) AS n FROM df GROUP BY 1), uu AS (SELECT usr AS unit, sum(d) AS s, count(*) AS n FROM df GROUP BY 1), bs AS ({evaluation.DRAWS('us')}), bu AS ({evaluation.DRAWS('uu')})"
+
+
+@query("ev_bootstrap", f"{_DIFF} SELECT {R6('mean')} AS mean, {R6('low')} AS low, {R6('high')} AS high FROM bs")
 def bootstrap(v: Views) -> DataFrame:
     """Percentile interval of the mean paired difference, resampling slates."""
     return _bootstrap(v, None)
 
 
-@query("ev_cluster_bootstrap")
+@query("ev_cluster_bootstrap", f"{_DIFF} SELECT {R6('mean')} AS mean, {R6('low')} AS low, {R6('high')} AS high FROM bu")
 def cluster_bootstrap(v: Views) -> DataFrame:
     """The same with whole users as units; the estimand stays the macro mean over slates."""
     return _bootstrap(v, F.col("usr"))
 
 
-@query("ev_gate")
+@query("ev_gate", f"{_DIFF}, z AS (SELECT count(*) AS slates, count(DISTINCT usr) AS users FROM df) SELECT slates, users, {R6('bs.low')} AS low_slates, {R6('bu.low')} AS low_users, bs.low > 0 AND bu.low > 0 AND slates >= 100 AND users >= 30 AS passed FROM z, bs, bu")
 def gate(v: Views) -> DataFrame:
     """Pass iff both lower bounds clear 0 and the cohort has 100 slates and 30 users or more."""
     d = _both(v).withColumn("d", F.col("a") - F.col("b")).join(v.impressions(), "impression")
     size = d.agg(F.count("*").alias("slates"), F.count_distinct("usr").alias("users"))
     low = lambda u, n: evaluation.bootstrap(d, F.col(u)).select(F.col("low").alias(n))
     rows = size.join(F.broadcast(low("impression", "low_slates"))).join(F.broadcast(low("usr", "low_users")))
-    return rows.withColumn("passed", (F.col("low_slates") > 0) & (F.col("low_users") > 0) & (F.col("slates") >= 100) & (F.col("users") >= 30))
+    rows = rows.withColumn("passed", (F.col("low_slates") > 0) & (F.col("low_users") > 0) & (F.col("slates") >= 100) & (F.col("users") >= 30))
+    return rows.withColumns({c: r6(F.col(c)) for c in ("low_slates", "low_users")})
 
 
 _CHR = "WITH o AS (SELECT o_orderkey AS impression, o_orderdate::DATE AS d FROM orders), g AS (SELECT d, count(*) AS n FROM o GROUP BY 1), r AS (SELECT d, sum(n) OVER (ORDER BY d) AS upto, sum(n) OVER () AS total FROM g)"

@@ -502,15 +502,6 @@ def embeddings_check(v: Views) -> DataFrame:
     return vectors.validate(v.table("embeddings"))
 
 
-@query("src_entity_hdf5", f"WITH v AS (SELECT vec_id, vec_id % 40 AS article, pos, embedding[pos]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS pos)), m AS (SELECT article, pos, avg(x) AS x FROM v GROUP BY 1, 2), n AS (SELECT article, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT article, pos - 1 AS pos, {R6('x / n')} AS x FROM m JOIN n USING (article)")
-def entity_mean(v: Views) -> DataFrame:
-    """Article vector: the normalised mean of its entities' vectors, here of every fortieth id."""
-    rows = v.table("embeddings").select((F.col("vec_id") % 40).alias("article"), F.posexplode("embedding").alias("pos", "x"))
-    m = rows.groupBy("article", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    norm = m.groupBy("article").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return m.join(norm, "article").select("article", "pos", r6(F.col("x") / F.col("n")).alias("x"))
-
-
 @query("agg_semantic_clusters")
 def semantic_clusters(v: Views) -> DataFrame:
     return vectors.leader_clusters(v)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.operators import sampling
 from ruleloom.plans.registry import query
 from ruleloom.plans.views import BASE, Views
+from ruleloom.session import shared_folder
 from ruleloom.sources import logs
 from ruleloom.streaming import feedback
 
@@ -180,15 +183,6 @@ def companion_rows(v: Views) -> DataFrame:
 # --- sources and sinks: written as the logs' formats, then read back --------------------------------
 
 
-@query("src_behaviors_tsv", f"{BASE} SELECT impression, usr, article, click FROM exposures")
-def behaviors_round_trip(v: Views) -> DataFrame:
-    """Impressions as log lines `id-label`, parsed again into exposures."""
-    lines = v.exposures().groupBy("impression", "usr", "ts").agg(F.array_sort(F.collect_list(F.struct("position", F.concat_ws("-", "article", "click").alias("t")))).alias("x"))
-    raw = lines.select("impression", "usr", F.date_format("ts", "MM/dd/yyyy hh:mm:ss a").alias("time"), F.lit("").alias("history"), F.array_join(F.transform("x", lambda i: i["t"]), " ").alias("candidates"))
-    out = logs.parse_behaviors(raw.select(*(F.col(c).cast("string") for c in raw.columns)))
-    return out.select(F.col("impression").cast("bigint"), F.col("usr").cast("bigint"), F.col("article").cast("bigint"), "click")
-
-
 @query("src_time_parse", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 def time_parse(v: Views) -> DataFrame:
     """Four layouts, dealt over the rows, all parsed back."""
@@ -217,17 +211,49 @@ def feedback_profile(v: Views) -> DataFrame:
     return feedback.streamed_profiles(v)
 
 
-@query("st_session_ttl", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM s) SELECT user_id, min(ts) AS started, count(*) AS events FROM g GROUP BY user_id, s")
+@query("st_session_ttl", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM s), e AS (SELECT user_id, min(ts) AS started, max(ts) AS latest, count(*) AS events FROM g GROUP BY user_id, s) SELECT user_id, started, events FROM e WHERE latest + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)")
 def session_ttl(v: Views) -> DataFrame:
-    """Sessions that end after an hour without events."""
-    g = v.table("events").groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events"))
-    return g.select("user_id", F.col("w.start").alias("started"), "events")
+    """Sessions that a stream of the events has expired: idle for an hour before the watermark; open ones stay in its state."""
+    return feedback.expired_sessions(v)
 
 
 @query("st_pending_counter", "SELECT user_id, count(*) AS events, count(*) // 8 AS minings, count(*) % 8 AS pending FROM events GROUP BY 1")
 def pending_counter(v: Views) -> DataFrame:
-    n = v.table("events").groupBy("user_id").agg(F.count("*").alias("events"))
-    return n.select("user_id", "events", F.floor(F.col("events") / 8).alias("minings"), (F.col("events") % 8).alias("pending"))
+    """Events, minings that every eighth of them triggered, and events since the last one, from the stream's state."""
+    p = feedback.streamed_profiles(v)
+    return p.select("user_id", "events", ((F.col("events") - F.col("pending")) / feedback.INTERVAL).cast("bigint").alias("minings"), "pending")
+
+
+_LOT = "event_type = 'click'"
+
+
+@query("st_snapshot_promote", f"SELECT event_type, count(*) AS n, 2 AS version FROM events WHERE NOT ({_LOT}) GROUP BY 1")
+def snapshot_promote(v: Views) -> DataFrame:
+    """Supports served after four builds: the first is promoted, the second replaces it, a stale and a reconfigured one are discarded."""
+    versions = feedback.RuleVersions(v.spark, f"{shared_folder(v.spark)}/versions-{uuid.uuid4().hex}")
+    counts = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    e = v.table("events")
+    versions.promote(versions.capture(), counts(e))
+    versions.promote(versions.capture(), counts(e.where(f"not ({_LOT})")))
+    versions.promote(versions.capture(), counts(e.where(_LOT)), config_unchanged=False)
+    versions.promote(versions.capture() - 1, counts(e.where(_LOT)))
+    version, path = feedback.RuleVersions(v.spark, versions.root).current()
+    return v.spark.read.parquet(path).withColumn("version", F.lit(version))
+
+
+@query("st_single_flight", "SELECT event_type, count(*) AS n, 2 AS builds, 3 AS coalesced FROM events GROUP BY 1")
+def single_flight(v: Views) -> DataFrame:
+    """Triggers during a build start no other one, but one more build after it, which sees all events."""
+    versions = feedback.RuleVersions(v.spark, f"{shared_folder(v.spark)}/versions-{uuid.uuid4().hex}")
+    seen, e = [_LOT, "true"], v.table("events")
+    builds, coalesced, again = 0, 0, True
+    while again:
+        version = versions.capture()
+        if builds == 0:
+            coalesced = sum(versions.capture() is None for _ in range(3))
+        again = versions.promote(version, e.where(seen[builds]).groupBy("event_type").agg(F.count("*").alias("n"))) and versions.wanted()
+        builds += 1
+    return v.spark.read.parquet(versions.current()[1]).withColumns({"builds": F.lit(builds), "coalesced": F.lit(coalesced)})
 
 
 @query("win_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # Columns and time layouts of the logs.
 NEWS = ["id", "topic", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
 BEHAVIORS = ["impression", "usr", "time", "history", "candidates"]
 TIME_LAYOUTS = ["M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss"]
 
+# Names of evaluation folders by preference; fields that derive from vectors, entities or annotations; models that don't.
+EVAL_NAMES = ["valid", "validation", "dev"]
+NEURAL_PARTS = ("embedding", "entity", "entities", "vector", "neural")
+NEURAL_STARTS = ("text_semantic", "mi_semantic", "semantic_", "llm_")
+NEURAL_NAMES = {"transformer_model", "encoder_model", "sentence_model", "recency_workspace"}
+STATISTIC_MODELS = {"title_idf_model", "lexical_idf_model", "subcategory_transition_model"}
+
 
 def _tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     schema = ", ".join(f"{n} string" for n in names)
@@ -70,13 +78,61 @@ def merge_catalog(splits: list[DataFrame], core: list[str]) -> DataFrame:
     return out.drop(*(f"_n_{c}" for c in core))
 
 
-def find_splits(names: list[str]) -> dict[str, str]:
-    """train, valid and dev folders by token: an exact name first, then the shallowest path."""
-    out = {}
-    for token in ("train", "valid", "dev", "test"):
-        hits = [n for n in names if token in n.rstrip("/").rsplit("/", 1)[-1].lower()]
-        if hits:
-            out[token] = min(hits, key=lambda n: (n.rstrip("/").rsplit("/", 1)[-1].lower() != token, n.count("/"), n))
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system and path of ``path``, so that remote folders work as local ones do."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def split_kind(name: str) -> str | None:
+    """train or eval, by the tokens of a folder's name."""
+    tokens = set(re.split("[^a-z0-9]+", name.casefold()))
+    return "train" if "train" in tokens else "eval" if tokens & set(EVAL_NAMES) else None
+
+
+def choose_splits(folders: list[str]) -> dict[str, str]:
+    """One folder for each kind: a conventional name first, then the shallowest path, then the first by name."""
+    name = lambda f: f.rstrip("/").rsplit("/", 1)[-1]
+    rank = {"train": 0} | {n: i for i, n in enumerate(EVAL_NAMES)}
+    order = lambda f: (rank.get(name(f).casefold(), len(EVAL_NAMES)), f.count("/"), f)
+    return {kind: min(found, key=order) for kind in ("train", "eval") if (found := [f for f in folders if split_kind(name(f)) == kind])}
+
+
+def find_splits(spark: SparkSession, root: str) -> dict[str, str]:
+    """The train and eval folders below ``root`` that hold both logs; a kind without a folder is an error."""
+    fs, top = files(spark, root)
+    folders, queue = [], [top]
+    while queue:
+        at = queue.pop()
+        names = {status.getPath().getName(): status for status in fs.listStatus(at)}
+        if {"news.tsv", "behaviors.tsv"} <= names.keys():
+            folders.append(at.toString())
+        queue += [x.getPath() for n, x in names.items() if x.isDirectory() and not n.endswith(".tsv")]
+    found = choose_splits(folders)
+    if len(found) < 2:
+        raise FileNotFoundError(f"no folder with both logs for {sorted({'train', 'eval'} - found.keys())}")
+    return found
+
+
+def unpack(spark: SparkSession, archive: str, folder: str) -> list[str]:
+    """Copy the members of a zip archive to files below ``folder``, buffer by buffer; names may not lead out of it."""
+    jvm, (fs, source) = spark.sparkContext._jvm, files(spark, archive)
+    target, _ = files(spark, folder)
+    packed, out = jvm.java.util.zip.ZipInputStream(fs.open(source)), []
+    try:
+        while (entry := packed.getNextEntry()) is not None:
+            name = entry.getName()
+            if name.startswith("/") or ".." in name.split("/"):
+                raise ValueError("the archive has a member outside its folder")
+            if not entry.isDirectory():
+                sink = target.create(jvm.org.apache.hadoop.fs.Path(folder, name), False)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, sink, 65536)
+                finally:
+                    sink.close()
+                out.append(name)
+    finally:
+        packed.close()
     return out
 
 
@@ -85,11 +141,32 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def neural_field(name: str) -> bool:
+    low = name.casefold()
+    return any(x in low for x in NEURAL_PARTS) or low.startswith(NEURAL_STARTS) or low in NEURAL_NAMES
+
+
+def _without(c: Column, kind: DataType) -> Column | None:
+    """``c`` without neural fields at any depth; None if nothing is left of a struct."""
+    if isinstance(kind, StructType):
+        kept = [(f, _without(c[f.name], f.dataType) if f.name not in STATISTIC_MODELS else c[f.name]) for f in kind.fields if not neural_field(f.name)]
+        kept = [x.alias(f.name) for f, x in kept if x is not None]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType, MapType)):
+        return F.transform(c, lambda x: _without(x, kind.elementType)) if _without(F.lit(None), kind.elementType) is not None else None
+    if isinstance(kind, MapType) and isinstance(kind.valueType, (StructType, ArrayType, MapType)):
+        return F.transform_values(c, lambda _, x: _without(x, kind.valueType)) if _without(F.lit(None), kind.valueType) is not None else None
+    return c
+
+
 def strip_neural(df: DataFrame) -> DataFrame:
-    """Drop columns derived from vectors, entities or annotations; statistic models stay."""
-    kept = ("model",)
-    gone = ("embedding", "vector", "entity_sim", "semantic", "llm_", "annotation")
-    return df.select(*(c for c in df.columns if c.endswith(kept) or not any(g in c.lower() for g in gone)))
+    """Drop fields derived from vectors, entities or annotations at any depth; statistic models stay as they are.
+
+    Keys of maps are data (users, topics), not fields, and stay.
+    """
+    kept = [(f.name, F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not neural_field(f.name)]
+    done = [(n, c if n in STATISTIC_MODELS else _without(c, t)) for n, c, t in kept]
+    return df.select(*(c.alias(n) for n, c in done if c is not None))
 
 
 def write_exclusive(df: DataFrame, path: str) -> None:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ruleloom.plans.views import Views
+from ruleloom.sources.logs import files
 
 HISTORY, SKIPS, INTERVAL = 200, 20, 8
 PROFILE = "user_id bigint, history string, skips string, pending bigint, events bigint"
@@ -60,25 +63,70 @@ def streamed_profiles(v: Views) -> DataFrame:
     return t.groupBy("user_id").agg(F.max_by(F.struct("history", "skips", "pending", "events"), "events").alias("x")).select("user_id", "x.*")
 
 
+def expired_sessions(v: Views, idle: str = "1 hour") -> DataFrame:
+    """user_id, started and events of the sessions that were idle for ``idle`` before the watermark; a session's state goes with its row."""
+    rows = stream(v).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    rows = rows.groupBy("user_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("events"))
+    return _drain(v, rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "events"), "append")
+
+
 class RuleVersions:
-    """Staged builds of a rule table: a version is promoted only if nothing newer was captured meanwhile."""
+    """Staged builds of a rule table below ``root``, which is all the state: any driver that names it goes on with it.
+
+    A build is captured by an empty file of its number and a lock, both made exclusively; a version counts once
+    the mark beside its rules, written last, is there.  It is promoted only if nothing newer was captured meanwhile.  A trigger
+    during a build leaves a note that one more is wanted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+        self.fs, _ = files(spark, root)
 
-    def __init__(self, root: str) -> None:
-        self.root, self.current, self.captured, self.building = root, None, 0, False
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _numbers(self, pattern: str) -> list[int]:
+        found = self.fs.globStatus(self._path(pattern)) or []
+        return [int(re.search(r"(\d+)(/ready)?$", x.getPath().toString())[1]) for x in found]
+
+    def _make(self, name: str) -> bool:
+        """Create an empty file; False if there is one."""
+        try:
+            return bool(self.fs.createNewFile(self._path(name)))
+        except Py4JJavaError:  # some file systems raise where others answer
+            if self.fs.exists(self._path(name)):
+                return False
+            raise
 
     def capture(self) -> int | None:
-        """Start a build; a trigger during a build is coalesced into it."""
-        if self.building:
+        """Start a build and return its number; a trigger during a build is coalesced into the next one."""
+        if not self._make("building"):
+            self._make("wanted")
             return None
-        self.building, self.captured = True, self.captured + 1
-        return self.captured
+        self.fs.delete(self._path("wanted"), False)
+        version = max(self._numbers("captured-*"), default=0) + 1
+        self._make(f"captured-{version}")
+        return version
+
+    def wanted(self) -> bool:
+        """Whether a trigger came during the last build."""
+        return bool(self.fs.exists(self._path("wanted")))
+
+    def abandon(self) -> None:
+        """Give up the build in force, as after the loss of its driver."""
+        self.fs.delete(self._path("building"), False)
 
     def promote(self, version: int, rules: DataFrame, config_unchanged: bool = True) -> bool:
-        """Write the staged rules and point to them, or discard a stale build."""
-        self.building = False
-        if version != self.captured or not config_unchanged:
-            return False
-        path = f"{self.root}/v{version}"
-        rules.write.mode("errorifexists").parquet(path)
-        self.current = path
-        return True
+        """Write the staged rules and mark them ready, or discard a stale build."""
+        try:
+            if version != max(self._numbers("captured-*"), default=0) or not config_unchanged:
+                return False
+            rules.write.mode("errorifexists").parquet(f"{self.root}/v{version}/rules")
+            return self._make(f"v{version}/ready")
+        finally:
+            self.abandon()
+
+    def current(self) -> tuple[int, str] | None:
+        """The newest promoted version and the folder of its rules."""
+        version = max(self._numbers("v*/ready"), default=None)
+        return None if version is None else (version, f"{self.root}/v{version}/rules")

@@ -1,5 +1,6 @@
 """Hand-computed values of single operators, and invariances."""
 
+import zipfile
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ruleloom.functions import buckets, text, truth
-from ruleloom.operators import mining, ranking, sampling, vectors
+from ruleloom.operators import evaluation, mining, ranking, sampling, vectors
 from ruleloom.plans import q_scalars
 from ruleloom.sources import logs
 from ruleloom.streaming import feedback
@@ -134,8 +135,24 @@ def test_merge_refuses_core_conflicts(spark):
         logs.merge_catalog([a, b.withColumn("topic", F.lit("y"))], ["topic"]).count()
 
 
-def test_split_discovery():
-    assert logs.find_splits(["/d/smalltrain", "/d/train", "/d/x/deep/dev"]) == {"train": "/d/train", "dev": "/d/x/deep/dev"}
+def test_split_choice(spark, tmp_path):
+    assert logs.choose_splits(["/d/smalltrain", "/d/my-train", "/d/x/train", "/d/x/deep/dev", "/d/Validation"]) == {"train": "/d/x/train", "eval": "/d/Validation"}
+    (tmp_path / "train").mkdir()
+    for name in ("news.tsv", "behaviors.tsv"):
+        (tmp_path / "train" / name).write_text("")
+    with pytest.raises(FileNotFoundError, match="eval"):
+        logs.find_splits(spark, str(tmp_path))
+
+
+def test_archive_members_stay_inside(spark, tmp_path):
+    for member, fits in (("a/b.txt", True), ("../b.txt", False)):
+        with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+            z.writestr(member, "text")
+        if fits:
+            assert logs.unpack(spark, str(tmp_path / "x.zip"), str(tmp_path / "out")) == [member] and (tmp_path / "out" / member).read_text() == "text"
+        else:
+            with pytest.raises(ValueError, match="outside"):
+                logs.unpack(spark, str(tmp_path / "x.zip"), str(tmp_path / "out"))
 
 
 def test_model_is_verified_and_exclusive(spark, tmp_path):
@@ -156,9 +173,37 @@ def test_snapshot_and_neural_columns(spark, tmp_path):
 
 
 def test_rule_versions(spark, tmp_path):
-    v = feedback.RuleVersions(str(tmp_path))
+    v = feedback.RuleVersions(spark, str(tmp_path))
     rules = spark.range(1)
+    assert v.current() is None
     first = v.capture()
-    assert v.capture() is None and v.promote(first, rules) and v.current.endswith("v1")
+    assert v.capture() is None and v.wanted() and v.promote(first, rules) and v.current()[0] == 1
     second = v.capture()
-    assert not v.promote(second, rules, config_unchanged=False) and v.current.endswith("v1")
+    assert not v.wanted() and not v.promote(second, rules, config_unchanged=False)
+    v.capture()  # its driver is lost
+    other = feedback.RuleVersions(spark, str(tmp_path))
+    assert other.capture() is None and other.current()[0] == 1
+    other.abandon()
+    late = other.capture()
+    assert late == 4 and not v.promote(3, rules) and other.current()[0] == 1
+    with pytest.raises(Exception, match="(?i)division|zero"):
+        other.promote(late, spark.range(1).select(F.raise_error(F.lit("division")).alias("x")))
+    assert other.current()[0] == 1 and other.promote(other.capture(), rules) and v.current()[0] == 5
+
+
+def test_bootstrap_draws_are_even_and_unrelated(spark):
+    units = spark.range(400).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("r"))
+    x = units.select("u", "r", (evaluation.drawn(F.col("u"), F.col("r"), 7) / evaluation.PRIME).alias("x")).toPandas().pivot(index="u", columns="r", values="x").to_numpy()
+    assert abs(x.mean() - 0.5) < 0.005 and abs(x.var() - 1 / 12) < 0.002
+    for rows in (x, x.T):
+        c = np.corrcoef(rows)[np.triu_indices(len(rows), 1)]
+        assert abs(c.mean()) < 0.002 and abs(c.std() * np.sqrt(rows.shape[1]) - 1) < 0.05
+    weight = (x[:, :, None] >= np.array(evaluation.CUTS)).sum(2)
+    assert abs(weight.mean() - 1) < 0.02 and abs(weight.var() - 1) < 0.03
+
+
+def test_bootstrap_interval_matches_the_normal_one(spark):
+    rows = spark.range(3000).select("id", F.sin(F.col("id") * 1.7).alias("d"))
+    got, d = evaluation.bootstrap(rows, F.col("id")).first(), np.sin(np.arange(3000) * 1.7)
+    half = 1.96 * d.std() / np.sqrt(len(d))
+    assert abs(got.mean - d.mean()) < 1e-9 and abs(got.high - d.mean() - half) < 0.15 * half and abs(d.mean() - got.low - half) < 0.15 * half
