@@ -29,9 +29,11 @@ from ruleloom.llm.common import class_sizes, class_weights, crc_of_id, small_bat
 
 TOKEN = re.compile(r"\w+|\n")
 #: Bound of the training sample: rows and megabytes of text of each class.
-SAMPLE_ROWS, SAMPLE_MB = 1500, 5
+SAMPLE_ROWS, SAMPLE_MB = 2500, 10
 #: Lines of the sample that train the chain, and the share of lines without a marked token that are drawn for it.
-SAMPLE_LINES, UNTAGGED_SHARE = 8000, 0.15
+SAMPLE_LINES, UNTAGGED_SHARE = 15_000, 0.15
+#: Tokens of whole lines whose messages are in memory at once, and characters of whole texts that are scored together.
+CHUNK_TOKENS, CHUNK_CHARS = 200_000, 500_000
 BITS = 16
 FAR = 30.0
 #: Tokens of a chain that are worked on in one block.
@@ -166,19 +168,20 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-def marked_features(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words and word beginnings that mark toxic documents; near copies count once."""
+def marked_features(docs: list[np.ndarray], words: list[str], toxic: np.ndarray) -> set[str]:
+    """Words and word beginnings that mark toxic documents (ids in ``words``, 0 at line ends); near copies count once."""
     seen, totals, first = set(), [0, 0], []
-    for at, (tokens, y) in enumerate(zip(docs, toxic, strict=True)):
-        key = (int(y), *sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens})[:3])
+    crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)
+    for at, (ids, y) in enumerate(zip(docs, toxic, strict=True)):
+        key = (int(y), *np.sort(crc[np.unique(ids)])[:3].tolist())
         if key not in seen:
             seen.add(key)
             totals[y] += 1
             first.append(at)
 
-    def features(tokens: list[str]) -> set[str]:
-        words = {t.lower() for t in tokens if t != "\n"}
-        return {f"w={w}" for w in words} | {f"p={w[:k]}" for w in words for k in (4, 5, 6, 7) if len(w) > k}
+    def features(ids: np.ndarray) -> set[str]:
+        found = {words[i].lower() for i in np.unique(ids) if i}
+        return {f"w={w}" for w in found} | {f"p={w[:k]}" for w in found for k in (4, 5, 6, 7) if len(w) > k}
 
     bad, clean = Counter(), Counter()
     for at in first:
@@ -204,65 +207,102 @@ def is_marked(word: str, marked: set[str]) -> bool:
     return f"w={low}" in marked or any(f"p={low[:k]}" in marked for k in (4, 5, 6, 7) if len(low) > k)
 
 
+@dataclass
+class _Chunk:
+    """Whole lines end to end: the words, the words beside them (0 beyond a line's ends), and their labels."""
+
+    ids: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    tag: np.ndarray
+    lengths: np.ndarray
+    inner: np.ndarray  # places that have a token before them
+
+    @classmethod
+    def of(cls, lines: list[tuple[np.ndarray, np.ndarray]]) -> _Chunk:
+        ids, tag = (np.concatenate(x) for x in zip(*lines, strict=True))
+        lengths = np.array([len(x) for x, _ in lines])
+        starts = np.cumsum(lengths) - lengths
+        before, after, inside = np.roll(ids, 1), np.roll(ids, -1), np.ones(len(ids), bool)
+        before[starts], after[starts + lengths - 1], inside[starts] = 0, 0, False
+        return cls(ids, before, after, tag, lengths, np.flatnonzero(inside))
+
+
+def _train_chain(crf: Crf, words: list[str], lines: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float, ridge: float) -> None:
+    """Gradient steps with one rate for each weight.
+
+    Potentials and residuals are summed for each distinct word first, so that a token costs three look-ups
+    however many features it has, and the messages of no more than a chunk of lines are in memory.
+    """
+    if not lines:
+        return
+    chunks, group, size = [], [], 0
+    for line in lines:
+        group.append(line)
+        size += len(line[0])
+        if size >= CHUNK_TOKENS:
+            chunks, group, size = [*chunks, _Chunk.of(group)], [], 0
+    if group:
+        chunks.append(_Chunk.of(group))
+    none = edge()
+    own = np.array([own_features(w) for w in words], np.int32)
+    near = np.array([(none, none), *(near_features(w) for w in words[1:])], np.int32)
+    slots = 1 << BITS
+    seen_moves = np.zeros((2, 2))
+    for c in chunks:
+        np.add.at(seen_moves, (c.tag[c.inner - 1].astype(int), c.tag[c.inner].astype(int)), 1)
+    squares, move_squares = np.full(slots, 1e-8), np.full((2, 2), 1e-8)
+    for _ in range(steps):
+        pull, left, right = crf.weights[own].sum(1), crf.weights[near[:, 0]], crf.weights[near[:, 1]]
+        wrong, expected, t = np.zeros((3, len(words))), np.zeros((2, 2)), np.exp(crf.moves)
+        for c in chunks:
+            f, b, push = crf.lines(pull[c.ids] + left[c.before] + right[c.after], c.lengths)
+            p = f * b / (1 + f * b) - c.tag
+            for k, at in enumerate((c.ids, c.before, c.after)):
+                wrong[k] += np.bincount(at, p, len(words))
+            a, onward = f[c.inner - 1], push[c.inner] * b[c.inner]
+            joint = np.array([[np.full(len(a), t[0, 0]), t[0, 1] * onward], [t[1, 0] * a, t[1, 1] * a * onward]])
+            expected += (joint / joint.sum((0, 1))).sum(2)
+        g = sum(np.bincount(column, wrong[0], slots) for column in own.T)
+        g = (g + np.bincount(near[:, 0], wrong[1], slots) + np.bincount(near[:, 1], wrong[2], slots)) / len(lines) + ridge * crf.weights
+        squares += g * g
+        crf.weights = crf.weights - rate * g / np.sqrt(squares)
+        g2 = (expected - seen_moves) / len(lines)
+        move_squares += g2 * g2
+        crf.moves = crf.moves - 0.1 * g2 / np.sqrt(move_squares)
+
+
 def fit(texts: list[str], toxic: list[int], weight: np.ndarray | None = None, steps: int = 80, rate: float = 0.5, ridge: float = 1e-3, seed: int = 5) -> Crf:
     """Train the chain and the document curve; with no label of one class the curve is a constant.
 
     ``weight`` gives the documents of a sample their class's share of all labelled documents in the curve.
     """
     y = np.array(toxic, int)
-    docs = [tokens_of(t) for t in texts]
     crf = Crf(np.zeros(1 << BITS), np.zeros((2, 2)), np.array([-3.0, 0, 0, 0]))
     if len(y) and y.min() == y.max():
         crf.curve[0] = 3.0 if y[0] else -3.0
     if not len(y) or y.min() == y.max():
         return crf
-    marked = marked_features(docs, y)
+    known = {"\n": 0}
+    docs = [np.array([known.setdefault(t, len(known)) for t in tokens_of(text)], np.int32) for text in texts]
+    words = list(known)
+    marked = marked_features(docs, words, y)
+    hot = np.array([i > 0 and is_marked(w, marked) for i, w in enumerate(words)])
     rng = np.random.default_rng(seed)
-    lines: list[tuple[list[str], list[int]]] = []
-    for tokens, bad in zip(docs, y, strict=True):
-        line: list[str] = []
-        for t in [*tokens, "\n"]:
-            if t != "\n":
-                line.append(t)
-            elif line:
-                tags = [int(bool(bad) and is_marked(w, marked)) for w in line]
-                if any(tags) or rng.random() < UNTAGGED_SHARE:
-                    lines.append((line, tags))
-                line = []
+    lines: list[tuple[np.ndarray, np.ndarray]] = []
+    for ids, bad in zip(docs, y, strict=True):
+        tags, begin = hot[ids] & bool(bad), 0
+        for end in [*np.flatnonzero(ids == 0).tolist(), len(ids)]:
+            if end > begin and (tags[begin:end].any() or rng.random() < UNTAGGED_SHARE):
+                lines.append((ids[begin:end], tags[begin:end]))
+            begin = end + 1
     lines = [lines[i] for i in rng.permutation(len(lines))[:SAMPLE_LINES]]
-    del docs
-    lengths = np.array([len(a) for a, _ in lines])
-    tag = np.array([t for _, b in lines for t in b])
-    cache: dict = {}
-    own = np.array([cache.get(w) or cache.setdefault(w, own_features(w)) for a, _ in lines for w in a])
-    near = [near_features(w) for a, _ in lines for w in a]
-    none = edge()
-    starts = np.cumsum(lengths) - lengths
-    prev, nxt = np.array([n[0] for n in near]), np.array([n[1] for n in near])
-    prev, nxt = np.roll(prev, 1), np.roll(nxt, -1)
-    prev[starts], nxt[starts + lengths - 1] = none, none
-    x = np.concatenate([own, prev[:, None], nxt[:, None]], axis=1).astype(np.int32)
-    del own, near, cache
-    inner = np.ones(len(tag), bool)
-    inner[starts] = False
-    here = np.flatnonzero(inner)
-    seen_moves = np.zeros((2, 2))
-    np.add.at(seen_moves, (tag[here - 1], tag[here]), 1)
-    squares, move_squares = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
-    for _ in range(steps):
-        emission = sum(crf.weights[column] for column in x.T)
-        f, b, push = crf.lines(emission, lengths)
-        p = f * b / (1 + f * b)
-        g = sum(np.bincount(column, p - tag, 1 << BITS) for column in x.T) / len(lines) + ridge * crf.weights
-        squares += g * g
-        crf.weights = crf.weights - rate * g / np.sqrt(squares)
-        t, a, c = np.exp(crf.moves), f[here - 1], push[here] * b[here]
-        joint = np.array([[np.full(len(a), t[0, 0]), t[0, 1] * c], [t[1, 0] * a, t[1, 1] * a * c]])
-        g2 = ((joint / joint.sum((0, 1))).sum(2) - seen_moves) / len(lines)
-        move_squares += g2 * g2
-        crf.moves = crf.moves - 0.1 * g2 / np.sqrt(move_squares)
+    _train_chain(crf, words, lines, steps, rate, ridge)
+    del docs, lines, known, words
     scorer = Scorer(crf)
-    stats = np.concatenate([scorer.statistics(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    group = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    stats = np.concatenate([scorer.statistics(texts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
     crf.curve = logistic(stats, y, np.ones(len(y)) if weight is None else weight)
     return crf
 
