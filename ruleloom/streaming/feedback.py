@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ruleloom.plans.views import Views
+from ruleloom.session import shared_folder
 from ruleloom.sources.logs import files
 
 HISTORY, SKIPS, INTERVAL = 200, 20, 8
+#: Rows of a slice of the replay for sessions, which bounds the state of a micro-batch.
+SLICE_ROWS = 1_000_000
 PROFILE = "user_id bigint, history string, skips string, pending bigint, events bigint"
 
 
@@ -63,11 +66,34 @@ def streamed_profiles(v: Views) -> DataFrame:
     return t.groupBy("user_id").agg(F.max_by(F.struct("history", "skips", "pending", "events"), "events").alias("x")).select("user_id", "x.*")
 
 
-def expired_sessions(v: Views, idle: str = "1 hour") -> DataFrame:
-    """user_id, started and events of the sessions that were idle for ``idle`` before the watermark; a session's state goes with its row."""
-    rows = stream(v).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+def expired_sessions(v: Views, idle: str = "1 hour", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """user_id, started and events of the sessions that were idle for ``idle`` before the watermark; a session's state goes with its row.
+
+    The events are replayed in the order of time, in files of about ``slice_rows`` rows, whatever files they came in: no row is
+    late, and the state holds the sessions of one slice and the open ones.  Rows, state and sessions lie in the shared
+    folder; none of them passes the driver.
+    """
+    spark, root = v.spark, f"{shared_folder(v.spark)}/sessions-{uuid.uuid4().hex}"
+    fs, _ = files(spark, root)
+    at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    events = v.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    slices = max(1, -(-events.count() // slice_rows))
+    events.repartitionByRange(slices, "ts").write.parquet(f"{root}/staged")
+    parts = sorted(n for n in (x.getPath().getName() for x in fs.listStatus(at("staged"))) if n.startswith("part-"))
+    for name in ("seen", "sessions"):
+        fs.mkdirs(at(name))
+    rows = spark.readStream.schema(events.schema).parquet(f"{root}/seen").withWatermark("ts", "0 seconds")
     rows = rows.groupBy("user_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("events"))
-    return _drain(v, rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "events"), "append")
+    rows = rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "events")
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/sessions").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    for k in range(slices):
+        for name in parts[k * len(parts) // slices:(k + 1) * len(parts) // slices]:
+            if not fs.rename(at(f"staged/{name}"), at(f"seen/{name}")):
+                raise RuntimeError(f"can't move {name} below {root}")
+        writer.start().awaitTermination()
+    for name in ("staged", "seen", "state"):
+        fs.delete(at(name), True)
+    return spark.read.schema(rows.schema).parquet(f"{root}/sessions")
 
 
 class RuleVersions:
