@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from ruleloom.operators import running
+from ruleloom.plans import q_evaluation
 from ruleloom.plans.views import Views
 from ruleloom.streaming import feedback
 
@@ -31,3 +33,19 @@ def test_sessions_of_files_in_any_order_of_time_without_the_driver(spark, tmp_pa
     got = feedback.expired_sessions(Views(spark, str(tmp_path)), slice_rows=90)
     assert sorted((r.user_id, r.started, r.events) for r in got.collect()) == sorted(want)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_order_by_borders_that_differ_at_each_evaluation(spark, monkeypatch):
+    """Sketches depend on how they are merged; the borders here are drawn anew whenever they are computed."""
+    draw = F.udf(lambda most: sorted(most * random.SystemRandom().random() for _ in range(9)), "array<double>")
+    monkeypatch.setattr(running.F, "percentile_approx", lambda value, shares, accuracy: draw(F.max(value)))
+    d = spark.range(1000).select(F.lit("a").alias("key"), ((F.col("id") * 7) % 1000).cast("double").alias("value"), F.lit(1).alias("weight"))
+    got = running.ordered(d, ["key"]).collect()
+    assert sorted((r.value, r.cum, r.i, r.total) for r in got) == [(float(v), v + 1, v + 1, 1000) for v in range(1000)]
+
+
+def test_percentiles_of_null_values_and_types(spark, tmp_path):
+    rows = [("a", None)] * 5 + [("a", float(x)) for x in range(1, 21)] + [(None, 7.0), ("b", None)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: (r.n, r.p50, r.p95, r.least, r.most) for r in q_evaluation.latency(Views(spark, str(tmp_path))).collect()}
+    assert got == {"a": (25, 10.0, 19.0, 1.0, 20.0), None: (1, 7.0, 7.0, 7.0, 7.0), "b": (1, None, None, None, None)}
