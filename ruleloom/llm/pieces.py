@@ -7,10 +7,11 @@ node; backward sampling walks from the end and draws each edge in proportion to
 
 No piece reaches over the beginning of a run of blanks or over a line break, so a text is a sequence
 of independent units.  The different units of a batch are filtered together, one vector step for
-each character position: a trie in sorted arrays finds the edges.  All units of the batch are then
-sampled together: edges of all nodes lie in one sorted array of node number plus cumulative
-probability, so one binary search draws one edge for every unit.  Draws depend on the row key, the
-unit's number in its text and the step alone, so a row gets one segmentation wherever it is processed.
+each character position: a trie as a double array finds the edges, and counting the edges of each
+node puts them in order.  All units of the batch are then sampled together: every unit goes along the
+edges of its node, from the shortest piece on, until their cumulative probability is above the draw.
+Probabilities are summed within a node only, and draws depend on the row key, the unit's number in
+its text and the step alone, so a row gets one segmentation wherever it is processed.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -70,108 +73,165 @@ class Sampler:
         self._plant()
 
     def _plant(self) -> None:
-        """The trie: sorted keys (state, character), the state that each leads to, and the pieces of states."""
+        """The trie as a double array: from state s the character with code c leads to state t = base[s] + c if parent[t] is s.
+
+        The root is state 0; characters that no piece has get the code 0, which leads nowhere.
+        """
         moves: dict[tuple[int, str], int] = {}
+        children: list[list[str]] = [[]]
         ends: dict[int, str] = {}
         for text in self.weight:
             state = 0
             for c in text:
-                state = moves.setdefault((state, c), len(moves) + 1)
+                if (state, c) not in moves:
+                    children[state].append(c)
+                    children.append([])
+                    moves[state, c] = len(children) - 1
+                state = moves[state, c]
             ends[state] = text
-        keys = np.array([(state << 21) | ord(c) for state, c in moves], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.states = keys[order], np.array(list(moves.values()), np.int64)[order]
-        self.ids, self.weights = np.full(len(moves) + 1, -1, np.int32), np.zeros(len(moves) + 1)
+        codes = {c: i for i, (c, _) in enumerate(Counter(c for _, c in moves).most_common(), 1)}
+        self.codes = np.zeros(0x110000, np.int64)
+        self.codes[[ord(c) for c in codes]] = list(codes.values())
+        below = [np.array([codes[c] for c in x], np.int64) for x in children]
+        order = sorted(range(len(below)), key=lambda i: -len(below[i]))
+        many = [i for i in order if len(below[i]) > 1]
+        single = [i for i in order if len(below[i]) == 1]
+        start = np.zeros(len(below), np.int64)
+        taken, at, kind = np.zeros(4096, bool), 0, 0
+        for i in many:
+            at, kind = at if len(below[i]) == kind else 0, len(below[i])
+            while True:
+                while len(taken) < at + 64 + len(codes) + 1:
+                    taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+                fits = ~taken[np.arange(at, at + 64)[:, None] + below[i]].any(1)
+                if fits.any():
+                    break
+                at += 64
+            at += int(fits.argmax())
+            start[i] = at
+            taken[at + below[i]] = True
+        taken = np.concatenate([taken, np.zeros(len(codes) + len(single) + 1, bool)])
+        free = np.flatnonzero(~taken[len(codes) :])[: len(single)] + len(codes)
+        start[single] = free - np.array([below[i][0] for i in single], np.int64)
+        place = np.zeros(len(below), np.int64)
+        for (state, c), to in moves.items():
+            place[to] = start[state] + codes[c]
+        size = int(max(place.max(), start.max())) + len(codes) + 1
+        self.base, self.parent, self.ids = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        self.base[place] = start
+        for (state, _), to in moves.items():
+            self.parent[place[to]] = place[state]
+        self.weights = np.zeros(len(self.spelling))
         for state, text in ends.items():
-            self.ids[state], self.weights[state] = self.weight[text]
+            i, weight = self.weight[text]
+            self.ids[place[state]], self.weights[i] = i, weight
 
     def _filter(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last node of each unit, and of all edges, in the order of the nodes that they
-        enter, the node number plus cumulative probability, the node they leave and the piece (a
-        character that becomes bytes: minus its code point).
+        """Last node of each unit, the first edge of each node, and of all edges, in the order of the
+        nodes that they enter, the cumulative probability within the node, the node they leave and
+        the piece (a character that becomes bytes: minus its code point, minus 1).
+
+        Nodes are numbered by their position in the unit, then from the longest unit to the shortest;
+        first nodes come behind all others.
         """
-        sizes = np.array([len(u) for u in units], np.int64)
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        unit = np.repeat(np.arange(len(units)), sizes)
-        offset = np.cumsum(sizes) - sizes
-        place = np.arange(len(code)) - offset[unit]
-        left = sizes[unit] - place
-        at, state, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
-        for k in range(1, self.longest + 1):
-            key = (state << 21) | code[at + k - 1]
-            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            alive = self.keys[where] == key
-            at, state = at[alive], self.states[where[alive]]
-            hit = self.ids[state] >= 0
-            found.append((at[hit], np.full(hit.sum(), k), self.ids[state[hit]], self.weights[state[hit]]))
-            more = left[at] > k
-            at, state = at[more], state[more]
-            if not len(at):
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        rank = np.empty(len(units), np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(len(units))
+        longer = len(units) - np.searchsorted(np.sort(sizes), np.arange(sizes.max()), side="right")  # units that reach a position
+        levels = np.cumsum([0, *longer])
+        nodes = int(levels[-1])
+        # characters of all units, each unit behind a mark, which stands for its first node and ends the unit before
+        points = np.frombuffer(("\n" + "\n".join(units) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        mark = np.cumsum(sizes + 1) - sizes - 1
+        code = self.codes[points]
+        code[mark] = code[-1] = 0
+        place = np.arange(len(code) - 1) - np.repeat(mark + 1, sizes + 1)
+        number = np.where(place < 0, nodes, levels[place]) + np.repeat(rank, sizes + 1)
+        at = np.flatnonzero(place >= 0)
+        state, degree, found = np.zeros(len(at), np.int64), np.zeros(nodes, np.int64), []
+        for k in range(self.longest):
+            to = self.base[state] + code[at + k]
+            alive = np.flatnonzero(self.parent[to] == state)
+            if not len(alive):
                 break
-        start, size, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        reached = np.zeros(len(code), bool)
-        reached[start + size - 1] = True
-        bare = np.flatnonzero(~reached)
-        width = 1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
-        start, size = np.concatenate([start, bare]), np.concatenate([size, np.ones(len(bare), np.int64)])
-        piece, weight = np.concatenate([piece, -code[bare].astype(np.int32) - 1]), np.concatenate([weight, np.exp(self.byte_weight * width)])
-        # edges by position in the unit and node; nodes are numbered by this order, first nodes behind all others
-        last = start + size - 1
-        node_order = np.argsort(place, kind="stable")
-        number = np.empty(len(code), np.int64)
-        number[node_order] = np.arange(len(code))
-        enter = number[last]
-        leave = np.where(place[start] > 0, number[start - 1], len(code) + unit[start])
-        order = np.argsort(enter, kind="stable")
-        enter, leave, piece, weight = enter[order], leave[order], piece[order], weight[order]
-        first_edge = np.searchsorted(enter, np.arange(len(code) + 1))
-        levels = np.searchsorted(place[node_order], np.arange(sizes.max() + 1))
-        alpha, share = np.ones(len(code) + len(units)), np.empty(len(enter))
+            at, state = at[alive], to[alive]
+            piece = self.ids[state]
+            hit = np.flatnonzero(piece >= 0)
+            start = at[hit]
+            enter = number[start + k]
+            before = degree[enter]  # pieces of one length enter a node once
+            degree[enter] = before + 1
+            found.append((enter, before, number[start - 1], piece[hit]))
+        bare = np.flatnonzero(degree == 0)
+        degree[bare] = 1
+        first_edge = np.concatenate([[0], np.cumsum(degree)])
+        leave, piece = np.zeros(first_edge[-1], np.int64), np.zeros(first_edge[-1], np.int32)
+        for enter, before, start, got in found:
+            edge = first_edge[enter] + before
+            leave[edge], piece[edge] = start, got
+        weight = self.weights[piece]
+        if len(bare):
+            which = np.empty(nodes, np.int64)
+            which[number[place >= 0]] = np.flatnonzero(place >= 0)
+            at = which[bare]
+            char = points[at].astype(np.int64)
+            width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+            edge = first_edge[bare]
+            leave[edge], piece[edge], weight[edge] = number[at - 1], -char - 1, np.exp(self.byte_weight * width)
+        alpha, sums = np.ones(nodes + len(units)), np.empty(nodes)
         for j in range(len(levels) - 1):
             a, b = levels[j], levels[j + 1]
             e = slice(first_edge[a], first_edge[b])
-            part = alpha[leave[e]] * weight[e]
-            bounds = first_edge[a:b] - first_edge[a]
-            total = np.add.reduceat(part, bounds)
-            alpha[a:b] = total
-            share[e] = part / np.repeat(total, np.diff(np.append(bounds, len(part))))
+            weight[e] *= alpha[leave[e]]
+            total = np.add.reduceat(weight[e], first_edge[a:b] - first_edge[a])
+            alpha[a:b] = sums[a:b] = total
             if j % 16 == 15:  # keep the weights of long units in range; only ratios matter
-                chars = node_order[a:b]
-                back = number[chars[:, None] - np.arange(16)]
-                alpha[back] /= total[:, None]
-        cum = np.cumsum(share)
-        cum += enter - np.floor(cum - share / 2)  # the sums of whole nodes are the node's number but for rounding
-        cum[first_edge[1:] - 1] = np.arange(1, len(code) + 1)
-        return len(code) + np.arange(len(units)), number[offset + sizes - 1], cum, leave, piece
+                for i in range(16):
+                    alpha[levels[j - i] : levels[j - i] + b - a] /= total
+        cum = weight / np.repeat(sums, degree)
+        more = np.flatnonzero(degree > 1)
+        edge = first_edge[more]
+        for k in range(1, int(degree.max())):
+            edge += 1
+            cum[edge] += cum[edge - 1]
+            left = np.flatnonzero(degree[more] > k + 1)
+            more, edge = more[left], edge[left]
+        cum[first_edge[1:] - 1] = 1
+        return levels[sizes - 1] + rank, first_edge, cum, leave, piece
 
     def encode(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """Sampled ids of each text; a leading blank is added, so that words at the start are like others."""
         split = [UNIT.findall(" " + t) if t else [] for t in texts]
-        index = {u: i for i, u in enumerate(sorted({u for s in split for u in s}))}
+        index: defaultdict[str, int] = defaultdict(count().__next__)
+        each = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64)
         if not index:
             return [np.zeros(0, np.int32) for _ in texts]
-        first, final, cum, leave, piece = self._filter(list(index))
-        each = np.array([index[u] for s in split for u in s], np.int64)
+        final, first_edge, cum, leave, piece = self._filter(list(index))
         sizes = np.array([len(s) for s in split])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        number = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        picks, steps = [], np.zeros(len(each), np.int64)
         with np.errstate(over="ignore"):
             start = _mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-            state = start[owner] + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            node, active, picks, steps = final[each], np.arange(len(owner)), [], np.zeros(len(owner), np.int64)
-            step = 0
+            state = np.repeat(start, sizes) + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            node, active = final[each], np.arange(len(each))
             while len(active):
-                draw = (_mix(state[active] + np.uint64(step + 1) * np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-                edge = np.searchsorted(cum, node[active] + draw, side="right")
+                state += np.uint64(0x8CB92BA72F3D8DD7)
+                draw = (_mix(state) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                edge = first_edge[node]
+                over = np.flatnonzero(cum[edge] <= draw)
+                while len(over):
+                    edge[over] += 1
+                    over = over[cum[edge[over]] <= draw[over]]
                 picks.append((active, piece[edge]))
-                node[active] = leave[edge]
-                steps[active] += 1
-                active = active[node[active] < first[0]]
-                step += 1
+                steps[active] = len(picks)
+                node = leave[edge]
+                on = np.flatnonzero(node < len(first_edge) - 1)
+                node, active, state = node[on], active[on], state[on]
         last = np.cumsum(steps) - 1
         ids = np.empty(steps.sum(), np.int32)
         for k, (which, got) in enumerate(picks):
             ids[last[which] - k] = got
+        owner = np.repeat(np.arange(len(texts)), sizes)
         bounds = np.cumsum(np.bincount(owner, steps, len(texts)).astype(np.int64))[:-1]
         low = (ids < 0) & (ids >= -128)
         ids[low] = self.byte_ids[-ids[low] - 1]
